@@ -70,8 +70,9 @@ def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.02) ->
 
     docs: host, text."""
     lines = _lines(docs)
-    hosts = lines.groupBy("host", "doc").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("all_docs"))
-    return lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") > share * F.col("all_docs")).select("host", "line", "n_docs")
+    hosts = docs.where(F.trim("text", F.lit(WHITE)) != "").select("host", F.md5("text").alias("doc")).distinct().groupBy("host").agg(F.count("*").alias("all_docs"))
+    # count("w"), not count("*"): the lines' shuffle is then the same one as that of apply_rules and runs once
+    return lines.groupBy("host", "line").agg(F.count("w").alias("n_docs")).where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") > share * F.col("all_docs")).select("host", "line", "n_docs")
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
