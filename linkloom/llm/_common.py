@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that go to Python at once while something is cut: texts and sets are long.
+BATCH = 256
+
+
 def ship(spark: SparkSession) -> None:
     """Python workers import this package from the path the driver has it at."""
     env = spark.sparkContext.environment
@@ -31,15 +35,29 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """df, computed once and written to the folder in spark.checkpoint.dir; its lineage ends there.
 
-    Only where that setting is empty (tests in one process) a temporary folder stands in. Collecting garbage
-    lets Spark delete the shuffle files of what was cut before."""
-    sc = df.sparkSession.sparkContext
+    by: a column that the rows are dealt by; later joins on it find them in place and don't shuffle them again (the
+    plan keeps that knowledge only without adaptive execution, which is off while it is made). Only where
+    spark.checkpoint.dir is empty (tests in one process) a temporary folder stands in. Collecting garbage lets Spark
+    delete the shuffle files of what was cut before."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    out = df.checkpoint(eager=True)
+    for_now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}
+    if by is not None:
+        df = df.repartition(shuffle_parts(spark), by)
+        for_now["spark.sql.adaptive.enabled"] = "false"
+    before = {k: spark.conf.get(k) for k in for_now}
+    try:
+        for k, v in for_now.items():
+            spark.conf.set(k, v)
+        out = df.checkpoint(eager=True)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     gc.collect()
     sc._jvm.System.gc()
     return out
@@ -67,7 +85,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows with about limit bytes, at least one row each."""
     data, offs = raw(column)
     lo, n = 0, len(offs) - 1
@@ -113,11 +131,11 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 21:
+        if n <= 1 << 20:
             _powers[base] = have
     return have[:n]
 

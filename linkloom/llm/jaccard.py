@@ -7,11 +7,12 @@ The join runs over the classes of equal sets, in four steps.
    hashes are compared: a set with too few of them in any other set can have no link and goes. They move as packed
    32-bit fingerprints; one that occurs twice within a task is counted there and sent once, so a frequent shingle
    sends a fingerprint a task, whatever its count. (False hits keep a set that could go; none is lost.)
-2. *Tiles.* What stays meets in tiles: a leading shingle (m(n) + 1 of them) and a band of set sizes. Bands grow by
-   1 / s, so linked sets lie in one band or neighbouring ones. Each set is first compared with one tile leader, that
-   with which it shares most tiles.
-3. Components of these links. Tiles that lie in one component have nothing left to tell.
-4. *Rest.* In the other tiles all pairs across components are compared, in blocks of bounded size on both sides.
+2. *Leaders.* What stays meets by leading shingles (m(n) + 1 of them; linked sets share one). Each set is first
+   compared with one leader, the first set of a shingle, that with which it shares most shingles.
+3. Components of these links. Shingles whose sets lie in one component have nothing left to tell.
+4. *Tiles.* The sets of another shingle are dealt into tiles by bands of set sizes. Bands grow by 1 / s, so linked
+   sets lie in one band or neighbouring ones. In a tile all pairs across components are compared, in blocks of bounded
+   size on both sides; the closest pair of each component is settled first, as often that joins it.
 
 A comparison first bounds the overlap by hashed bitmaps: |x| + |y| - popcount(bx xor by) is at least twice the
 overlap, as each bit holds the parity of the shingles hashed to it. What passes is settled by the exact intersection
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from . import graphs
 from ._common import U64, WORD, arrow_map, cut, edges_between, mix, shuffle_parts, slices, span_hashes, texts_of
 
-BITS = 512
-FLUSH_POSTINGS, FLUSH_SETS, SHARED = 1_500_000, 60_000, 65_535
+#: Bits of the bitmaps that tiles compare, and of those that single pairs of sets are compared by before their arrays.
+BITS, WIDE = 512, 4096
+FLUSH_POSTINGS, FLUSH_SETS, SHARED = 1_000_000, 60_000, 65_535
 BLOCK = 256
 
 _lower = np.arange(256)
@@ -83,8 +85,8 @@ def key_of(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    bits = np.bincount((found >> U64(7)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+def bitmap(found: np.ndarray, size: int) -> np.ndarray:
+    bits = np.bincount((found >> U64(7)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
@@ -197,7 +199,7 @@ def _sets(width: int):
             keys = batch.column(0).to_pylist()
             for lo, hi, data, offs in slices(batch.column(1)):
                 rows = [(k, x) for k, x in zip(keys[lo:hi], shingle_sets(data, offs, width)) if key_of(x) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([len(x) for _, x in rows], pa.int32()), pa.array([bitmap(x) for _, x in rows], pa.list_(pa.int64())), pa.array([x.view(np.int64) for _, x in rows], pa.list_(pa.int64()))], names=["key", "n", "bits", "arr"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([len(x) for _, x in rows], pa.int32()), pa.array([bitmap(x, BITS) for _, x in rows], pa.list_(pa.int64())), pa.array([bitmap(x, WIDE) for _, x in rows], pa.list_(pa.int64())), pa.array([x.view(np.int64) for _, x in rows], pa.list_(pa.int64()))], names=["key", "n", "bits", "wide", "arr"])
 
     return run
 
@@ -210,7 +212,7 @@ def _settle(percent: int):
             if not batch.num_rows:
                 continue
             cols = {c: batch.column(c) for c in batch.schema.names}
-            bits = [np.asarray(cols[c].flatten()).view(U64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b")]
+            bits = [np.asarray(cols[c].flatten()).view(U64).reshape(-1, WIDE // 64) for c in ("wide_a", "wide_b")]
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
             flat = [np.asarray(cols[c].flatten()).view(U64) for c in ("arr_a", "arr_b")]
             at = [np.concatenate(([0], np.cumsum(np.asarray(cols[c].value_lengths())))) for c in ("arr_a", "arr_b")]
@@ -231,16 +233,20 @@ def _settle(percent: int):
 
 
 def settle(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = lambda s: sets.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("bits", "arr")))
+    one = lambda s: sets.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("wide", "arr")))
     return arrow_map(pairs.join(one("a"), "a").join(one("b"), "b"), _settle(percent), "a long, b long")
 
 
+def _possible(apart: Column, total: Column, percent: int) -> Column:
+    """The bitmap bound: whether sets of total size may overlap enough if that many bits differ."""
+    return (total - apart) * (100 + percent) >= total * (2 * percent)
+
+
 def _overlap_possible(percent: int) -> Column:
     """Size ratio and bitmap bound for the sides x and y of a join."""
     apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(BITS // 64)), F.lit(0))
-    total = F.col("x.n") + F.col("y.n")
     ratio = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return ratio & ((total - apart) * (100 + percent) >= total * (2 * percent))
+    return ratio & _possible(apart, F.col("x.n") + F.col("y.n"), percent)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -263,41 +269,53 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = F.expr(f"int((300 - 3 * {percent}) * int(({percent} * n + 99) div 100) + 499) div 500")
     alive = classes.where(F.col("cnt") >= lowest).select("key", F.col("rep").alias("doc_id"))
     sets = slim.join(alive, slim["doc_id"].eqNullSafe(alive["doc_id"])).select("key", "text")
-    sets = arrow_map(sets, _sets(width), "key binary, n int, bits array<bigint>, arr array<bigint>")
-    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))
+    sets = arrow_map(sets, _sets(width), "key binary, n int, bits array<bigint>, wide array<bigint>, arr array<bigint>")
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()), by="id")
 
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     lead = F.expr(f"slice(arr, 1, n - int(({percent} * n + 99) div 100) + 1)")
 
-    def tiles(of: DataFrame, *cols: str) -> DataFrame:
-        return of.select(*cols, F.explode(lead).alias("sh"), band.alias("own")).select(*cols, "sh", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
-
-    t = tiles(sets, "id")
-    heads = t.groupBy("sh", "band").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    near = t.join(heads, ["sh", "band"]).where("id <> head").groupBy("id", "head").agg(F.count("*").alias("size"))
+    t = sets.select("id", F.explode(lead).alias("sh"))
+    heads = t.groupBy("sh").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    near = t.join(heads, "sh").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("size"))
     near = near.groupBy("id").agg(F.max_by("head", F.struct("size", "head")).alias("head"))
     links = settle(near.select(F.col("id").alias("a"), F.col("head").alias("b")), sets, percent)
     comps = cut(graphs.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     known = sets.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    t = tiles(known, "id", "root")
-    mixed = t.groupBy("sh", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    t = t.join(mixed.select("sh", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), ["sh", "band"])
+    t = known.select("id", "root", F.explode(lead).alias("sh"))
+    mixed = t.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    t = cut(t.join(mixed.select("sh", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sh"))
     t = t.join(sets.select("id", "n", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITS // 64))), "id")
+    t = t.withColumn("band", F.explode(F.array(band, band + 1)))
     t = t.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = t.withColumn("other", every).withColumnRenamed("block", "bx").withColumnRenamed("other", "by").alias("x")
-    y = t.withColumn("other", every).withColumnRenamed("block", "by").withColumnRenamed("other", "bx").alias("y")
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("sh", "band", "bx", "by")]
-    for cond in (F.col("x.id") < F.col("y.id"), F.col("x.root") != F.col("y.root"), _overlap_possible(percent)):
-        on.append(cond)
-    left = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = settle(left, sets, percent)
+    t = t.withColumn("other", every).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    x, y = t.alias("x"), t.alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("sh", "band", "lo", "hi")]
+    on += [F.col("x.id") < F.col("y.id"), F.col("x.root") != F.col("y.root"), (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi")), _overlap_possible(percent)]
+    left = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+    left = left.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+    for s in "ab":
+        left = left.join(sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}")), s)
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    left = left.select("a", "b", "ra", "rb", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("total"))
+    left = cut(left.where(_possible(F.col("apart"), F.col("total"), percent)).select("a", "b", "ra", "rb", (F.col("apart") / F.col("total")).alias("d")))
     roots = known.select("id", "root")
-    name = lambda s: roots.select(F.col("id").alias(s), F.col("root").alias({"a": "u", "b": "v"}[s]))
-    top = graphs.components(more.join(name("a"), "a").join(name("b"), "b").select("u", "v"))
-    final = known.select("id", "key", "root").join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    final = final.select("key", F.coalesce("top", "root").cast("string").alias("root")).distinct()
+    for last in (False, False, True):
+        # first the closest pair of each component, as often that joins it; in the end all that is left
+        tried = left.select("a", "b", "ra", "rb")
+        if not last:
+            ends = F.explode(F.array("ra", "rb")).alias("r")
+            tried = left.select(ends, "d", "a", "b", "ra", "rb").groupBy("r").agg(F.min(F.struct("d", "a", "b", "ra", "rb")).alias("p")).select("p.a", "p.b", "p.ra", "p.rb").distinct()
+        hits = settle(tried.select("a", "b"), sets, percent)
+        moved = graphs.components(hits.join(tried, ["a", "b"]).select(F.col("ra").alias("u"), F.col("rb").alias("v")))
+        moved = cut(moved.select(F.col("node").alias("root"), F.col("root").alias("top")))
+        now = lambda df, c: df.join(moved.select(F.col("root").alias(c), "top"), c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
+        roots = now(roots, "root")
+        if not last:
+            left = cut(now(now(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "ra"), "rb").where("ra <> rb"))
+    final = sets.select("id", "key").join(roots, "id").select("key", F.col("root").cast("string").alias("root")).distinct()
     final = classes.select("key", "rep").join(final, "key", "left").withColumn("root", F.coalesce("root", F.hex("key")))
     low = final.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = final.join(low, "root").select("key", "component_id")
