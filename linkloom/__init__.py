@@ -1,0 +1 @@
+"""Entity resolution of business records on Spark."""
