@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # The ASCII punctuation, the legal suffixes and the white space that names are normalised by.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -87,7 +88,7 @@ def levenshtein_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(longest == 0, F.lit(1.0)).when(F.least(F.length(a), F.length(b)) == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gestalt(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     from difflib import SequenceMatcher
 
