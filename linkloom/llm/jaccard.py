@@ -91,7 +91,7 @@ def bitmap(found: np.ndarray, size: int) -> np.ndarray:
 
 
 REACH = "kind int, rng int, flush long, idx int, doc_id long, key binary, n int, cnt int, fps binary, ids binary"
-REACHED = "kind int, flush long, idx int, doc_id long, key binary, n int, cnt int"
+REACHED = "kind int, flush long, idx int, doc_id long, key binary, n int, cnt int, fps binary, ids binary"
 
 
 def _reach(parts: int, percent: int, width: int):
@@ -162,8 +162,9 @@ def _reach(parts: int, percent: int, width: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents on and counts, for each set, its fingerprints that other sets have as well."""
-    schema = pa.schema([("kind", pa.int32()), ("flush", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("cnt", pa.int32())])
+    """Passes documents on and counts, for each set, its fingerprints that other sets have as well: a row for each flush,
+    with the sets' numbers in fps and the counts in ids."""
+    schema = pa.schema([("kind", pa.int32()), ("flush", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("cnt", pa.int32()), ("fps", pa.binary()), ("ids", pa.binary())])
     keys, owners, flushes = [], [], {}
     for batch in batches:
         kind = batch.column(0).to_numpy()
@@ -185,10 +186,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(first, len(key)))
     owner = owner[np.repeat(size > 1, size)]
     owner, count = np.unique(owner[owner & SHARED != SHARED], return_counts=True)
-    number = np.array(list(flushes), np.int64)
-    for lo in range(0, len(owner), 50_000):
-        o, n = owner[lo : lo + 50_000], len(owner[lo : lo + 50_000])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(number[o >> 16]), pa.array((o & SHARED).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(count[lo : lo + 50_000].astype(np.int32))], schema=schema)
+    at = np.searchsorted(owner >> 16, np.arange(len(flushes) + 1))
+    for k, number in enumerate(flushes):
+        some, n = owner[at[k] : at[k + 1]], count[at[k] : at[k + 1]]
+        if len(some):
+            row = [[1], [number], None, None, None, None, None, [(some & SHARED).astype(np.uint16).tobytes()], [n.astype(np.int32).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) if v is None else pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, n, cnt): the documents of whole flushes, with their sets' counts added up."""
+    docs, more = [], {}
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        kind = t["kind"].to_numpy()
+        docs.append(t.filter(pa.array(kind == 0)))
+        t = t.filter(pa.array(kind == 1))
+        for flush, fps, ids in zip(*(t[c].to_pylist() for c in ("flush", "fps", "ids"))):
+            np.add.at(more.setdefault(flush, np.zeros(SHARED + 1, np.int32)), np.frombuffer(fps, np.uint16), np.frombuffer(ids, np.int32))
+    for t in docs:
+        if t.num_rows:
+            flush, idx = t["flush"].to_numpy(), t["idx"].to_numpy()
+            extra = np.zeros(len(idx), np.int32)
+            for f in np.unique(flush).tolist():
+                if f in more:
+                    mine = (flush == f) & (idx >= 0)
+                    extra[mine] = more[f][idx[mine]]
+            t = t.set_column(t.schema.get_field_index("cnt"), "cnt", pa.array(t["cnt"].to_numpy() + extra))
+            yield from t.select(["doc_id", "key", "n", "cnt"]).to_batches()
 
 
 def _sets(width: int):
@@ -260,12 +285,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = shuffle_parts(spark)
     slim = texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), text_col=text_col)
     met = arrow_map(slim, _reach(parts, percent, width), REACH).repartition(parts, "rng")
-    met = cut(arrow_map(met, _count, REACHED))
-    rows = met.where("kind = 0")
-    hits = met.where("kind = 1").groupBy("flush", "idx").agg(F.sum("cnt").alias("more"))
-    local = rows.where("n > 0").groupBy("key", "n", "flush", "idx").agg(F.min("doc_id").alias("rep"), F.max("cnt").alias("cnt"))
-    classes = local.join(hits, ["flush", "idx"], "left").groupBy("key", "n").agg(F.min("rep").alias("rep"), F.max(F.col("cnt") + F.coalesce("more", F.lit(0))).alias("cnt"))
-    classes = cut(classes)
+    met = arrow_map(met, _count, REACHED).repartition(parts, "flush")
+    rows = cut(arrow_map(met, _total, "doc_id long, key binary, n int, cnt int"))
+    classes = cut(rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.max("cnt").alias("cnt")))
     lowest = F.expr(f"int((300 - 3 * {percent}) * int(({percent} * n + 99) div 100) + 499) div 500")
     alive = classes.where(F.col("cnt") >= lowest).select("key", F.col("rep").alias("doc_id"))
     sets = slim.join(alive, slim["doc_id"].eqNullSafe(alive["doc_id"])).select("key", "text")
@@ -287,21 +309,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = t.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     t = cut(t.join(mixed.select("sh", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sh"))
     t = t.join(sets.select("id", "n", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITS // 64))), "id")
-    t = t.withColumn("band", F.explode(F.array(band, band + 1)))
     t = t.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     t = t.withColumn("other", every).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
-    x, y = t.alias("x"), t.alias("y")
+    # the smaller set of a pair, x, stands in the tile of its own band, the larger in that and the one below
+    x, y = t.withColumn("band", band).alias("x"), t.withColumn("band", F.explode(F.array(band, band - 1))).alias("y")
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("sh", "band", "lo", "hi")]
-    on += [F.col("x.id") < F.col("y.id"), F.col("x.root") != F.col("y.root"), (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi")), _overlap_possible(percent)]
-    left = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    left = left.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+    on += [F.struct("x.n", "x.id") < F.struct("y.n", "y.id"), F.col("x.root") != F.col("y.root"), (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi")), _overlap_possible(percent)]
+    left = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    roots = known.select("id", "root")
     for s in "ab":
-        left = left.join(sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}")), s)
+        left = left.join(sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}")), s).join(roots.select(F.col("id").alias(s), F.col("root").alias(f"r{s}")), s)
     apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
     left = left.select("a", "b", "ra", "rb", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("total"))
     left = cut(left.where(_possible(F.col("apart"), F.col("total"), percent)).select("a", "b", "ra", "rb", (F.col("apart") / F.col("total")).alias("d")))
-    roots = known.select("id", "root")
     for last in (False, False, True):
         # first the closest pair of each component, as often that joins it; in the end all that is left
         tried = left.select("a", "b", "ra", "rb")
