@@ -8,7 +8,8 @@ The join runs over the classes of equal sets, in four steps.
    32-bit fingerprints; one that occurs twice within a task is counted there and sent once, so a frequent shingle
    sends a fingerprint a task, whatever its count. (False hits keep a set that could go; none is lost.)
 2. *Leaders.* What stays meets by leading shingles (m(n) + 1 of them; linked sets share one). Each set is first
-   compared with one leader, the first set of a shingle, that with which it shares most shingles.
+   compared with one leader, that with which it shares most shingles; the leader of a shingle is the set whose
+   shingles are most common.
 3. Components of these links. Shingles whose sets lie in one component have nothing left to tell.
 4. *Tiles.* The sets of another shingle are dealt into tiles by bands of set sizes. Bands grow by 1 / s, so linked
    sets lie in one band or neighbouring ones. In a tile all pairs across components are compared, in blocks of bounded
@@ -298,7 +299,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lead = F.expr(f"slice(arr, 1, n - int(({percent} * n + 99) div 100) + 1)")
 
     t = sets.select("id", F.explode(lead).alias("sh"))
-    heads = t.groupBy("sh").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    # the sets whose shingles are most common lead: an original links with its edited copies, these less with each other
+    sizes = t.groupBy("sh").agg(F.count("*").alias("size")).where("size > 1")
+    weight = t.join(sizes, "sh").groupBy("id").agg(F.sum("size").alias("size")).join(sets.select("id", "n"), "id").select("id", (F.col("size") / F.col("n")).alias("weight"))
+    heads = t.join(weight, "id").groupBy("sh").agg(F.max(F.struct("weight", "id")).alias("m"), F.count("*").alias("size")).where("size > 1").select("sh", F.col("m.id").alias("head"), "size")
     near = t.join(heads, "sh").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("size"))
     near = near.groupBy("id").agg(F.max_by("head", F.struct("size", "head")).alias("head"))
     links = settle(near.select(F.col("id").alias("a"), F.col("head").alias("b")), sets, percent)
@@ -319,7 +323,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     roots = known.select("id", "root")
     for s in "ab":
-        left = left.join(sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}")), s).join(roots.select(F.col("id").alias(s), F.col("root").alias(f"r{s}")), s)
+        left = left.join(known.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}"), F.col("root").alias(f"r{s}")), s)
     apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
     left = left.select("a", "b", "ra", "rb", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("total"))
     left = cut(left.where(_possible(F.col("apart"), F.col("total"), percent)).select("a", "b", "ra", "rb", (F.col("apart") / F.col("total")).alias("d")))
