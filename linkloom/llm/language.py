@@ -154,7 +154,7 @@ def _predict(model: Model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, share, runs = [], [], []
-            for lo, hi, data, offs in slices(batch.column(1), 1 << 22):
+            for lo, hi, data, offs in slices(batch.column(1), 1 << 20):
                 begins, ends, path, at = spans(model, data, offs, penalty)
                 owner = np.repeat(np.arange(hi - lo), np.diff(at))
                 weight = np.zeros((hi - lo, max(1, len(model.langs))))
