@@ -107,6 +107,8 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The normalised text: pieces joined, bytes read as UTF-8."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(map(self.texts.__getitem__, ids))
         out, held = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
