@@ -13,6 +13,7 @@ import json
 import numpy as np
 
 START = -1
+NEVER = float("inf")
 
 
 class Merges:
@@ -28,6 +29,8 @@ class Merges:
     def encode(self, ids: list[int]) -> list[int]:
         """Merges a list of single-symbol ids by priority, leftmost first."""
         n = len(ids)
+        if n <= 32:
+            return self._encode_short(list(ids))
         ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1])))]
         heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
@@ -47,6 +50,20 @@ class Merges:
                 heapq.heappush(heap, (r[0], h, r[1], ids[h], new))
         return [x for x in ids if x is not None]
 
+    def _encode_short(self, ids: list[int]) -> list[int]:
+        rank, none = self.rank, (NEVER, 0)
+        due = [rank.get(pair, none) for pair in zip(ids, ids[1:])]
+        first = [r[0] for r in due]
+        while first and (least := min(first)) != NEVER:
+            i = first.index(least)
+            ids[i : i + 2] = [due[i][1]]
+            del due[i], first[i]
+            for k in (i - 1, i):
+                if 0 <= k < len(due):
+                    due[k] = rank.get((ids[k], ids[k + 1]), none)
+                    first[k] = due[k][0]
+        return ids
+
     def single(self, symbols) -> list[int]:
         return [self.entries[symbols[k : k + 1]] for k in range(len(symbols))]
 

@@ -20,19 +20,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import arrow_map, texts_of
+from ._common import arrow_map, slices, texts_of
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MOST_WORDS = 400_000
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class Codec:
     """kind: 'bpe' or 'unigram'. pieces: string -> (id, score). byte_ids: 256 ids, if characters may fall back."""
 
     def __init__(self, kind: str, pieces: dict[str, tuple[int, float]], unk: int, byte_ids: list[int] | None, texts: list[str] | None = None):
         self.kind, self.pieces, self.unk, self.byte_ids = kind, pieces, unk, byte_ids
-        self.longest = max(map(len, pieces), default=1)
+        self.begins = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.score = dict(pieces.values())
+        self.met: dict[str, tuple[str, list[tuple[int, int]]]] = {}
         self.whole = any(MARK in p.lstrip(MARK) for p in pieces)  # then words may not be parted
         self.texts = texts
         self.byte_of = {i: b for b, i in enumerate(byte_ids or [])}
@@ -58,42 +70,54 @@ class Codec:
         """Encodes words, in sorted order, with one stack of forward cells."""
         if len(self.known) + len(words) > MOST_WORDS:
             self.known.clear()
-        # a cell: (length of the last piece, its id or None for a fallback, best score)
-        cells: list[tuple] = [(0, bpe.START, 0.0)]
+        # a cell: (length of the last piece, its id or None for a fallback, best score, see ends)
+        cells: list[tuple] = [(0, bpe.START, 0.0, "")]
         before = ""
         step = self._next_bpe if self.kind == "bpe" else self._next_unigram
         for w in sorted(words):
-            n = 0
-            for a, b in zip(w, before):
-                if a != b:
-                    break
-                n += 1
+            n = common(w, before)
             del cells[n + 1 :]
             for j in range(n + 1, len(w) + 1):
-                cells.append(step(w, j, cells))
+                cells.append(step(w[j - 1], j, cells))
             before = w
             out, j = [], len(w)
             while j:
-                size, piece, _ = cells[j]
-                out.append((piece,) if piece is not None else self.fallback(w[j - 1]))
+                size, piece = cells[j][:2]
+                if piece is not None:
+                    out.append(piece)
+                else:
+                    out += self.fallback(w[j - 1])[::-1]
                 j -= size
-            self.known[w] = tuple(i for ids in reversed(out) for i in ids)
-
-    def _next_bpe(self, w: str, j: int, cells: list) -> tuple:
-        for size in range(min(j, self.longest), 0, -1):
-            got = self.pieces.get(w[j - size : j])
-            if got is not None:
-                last = cells[j - size][1]
-                if self.merges.follows(bpe.START if last is None else last, got[0]):
-                    return size, got[0], 0.0
-        return 1, None, 0.0
-
-    def _next_unigram(self, w: str, j: int, cells: list) -> tuple:
-        best = (1, None, cells[j - 1][2] + self.unk_score)
-        for size in range(1, min(j, self.longest) + 1):
-            got = self.pieces.get(w[j - size : j])
-            if got is not None and (score := cells[j - size][2] + got[1]) > best[2]:
-                best = (size, got[0], score)
+            out.reverse()
+            self.known[w] = tuple(out)
+
+    def ends(self, tail: str) -> tuple[str, list[tuple[int, int]]]:
+        """Of a prefix that ends with tail: its longest end that begins a piece, and (size, id) of the pieces that are
+        its ends, longest first. tail: that longest end before the last character, and this character."""
+        got = self.met.get(tail)
+        if got is None:
+            if len(self.met) > 1_000_000:
+                self.met.clear()
+            end = tail
+            while end and end not in self.begins:
+                end = end[1:]
+            got = self.met[tail] = end, [(len(end) - k, self.pieces[end[k:]][0]) for k in range(len(end)) if end[k:] in self.pieces]
+        return got
+
+    def _next_bpe(self, c: str, j: int, cells: list) -> tuple:
+        end, found = self.met.get(cells[-1][3] + c) or self.ends(cells[-1][3] + c)
+        for size, piece in found:
+            last = cells[j - size][1]
+            if self.merges.follows(bpe.START if last is None else last, piece):
+                return size, piece, 0.0, end
+        return 1, None, 0.0, end
+
+    def _next_unigram(self, c: str, j: int, cells: list) -> tuple:
+        end, found = self.ends(cells[-1][3] + c)
+        best = (1, None, cells[j - 1][2] + self.unk_score, end)
+        for size, piece in reversed(found):
+            if (score := cells[j - size][2] + self.score[piece]) > best[2]:
+                best = (size, piece, score, end)
         return best
 
     def encode(self, normal: list[str]) -> list[list[int]]:
@@ -141,8 +165,8 @@ def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, codec = load(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, _, _ in slices(batch.column(1), 1 << 22):
+                part = batch.slice(lo, hi - lo)
                 normal = [sp.normalize(t) for t in part.column(1).to_pylist()]
                 ids = codec.encode(normal)
                 cols = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.array(x, np.uint32).tobytes()) for x in ids], pa.int64()), pa.array([codec.decode(x) == t for x, t in zip(ids, normal)], pa.bool_())]
