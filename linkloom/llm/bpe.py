@@ -28,9 +28,10 @@ class Merges:
 
     def encode(self, ids: list[int]) -> list[int]:
         """Merges a list of single-symbol ids by priority, leftmost first."""
+        return self._encode_short(list(ids)) if len(ids) <= 32 else self._encode_long(ids)
+
+    def _encode_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
-        if n <= 32:
-            return self._encode_short(list(ids))
         ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1])))]
         heap = [(r, i, new, a, b) for r, new, i, a, b in heap]

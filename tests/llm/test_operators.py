@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkloom.llm import graphs, jaccard, language, metric, packing, pieces, privacy, quality, rules, secrets, tokencounts
+from linkloom.llm import bpe, graphs, jaccard, language, metric, packing, pieces, privacy, quality, rules, secrets, tokencounts
 from linkloom.llm import queries as llm
 from linkloom.llm._common import slices
 
@@ -286,3 +286,17 @@ def test_slices():
     column = pa.array(["skip", *texts]).slice(1)
     got = [bytes(data[offs[i] : offs[i + 1]]).decode() for _, _, data, offs in slices(column, 8) for i in range(len(offs) - 1)]
     assert got == [t or "" for t in texts]
+
+
+def test_short_and_long_merges_agree():
+    merges, _ = bpe.byte_level(public_tokenizers.path("byte_bpe_50k.json"))
+    _, codec = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    for m in (merges, codec.merges):
+        single = [i for i, s in m.symbols.items() if len(s) == 1]
+        entries = [s for s in m.symbols.values() if all(s[k : k + 1] in m.entries for k in range(len(s)))]
+        for n in range(400):
+            ids = [rng.choice(single) for _ in range(n % 40)] + m.single(rng.choice(entries)) + m.single(rng.choice(entries))
+            ids += ids[: n % 7]
+            assert m._encode_short(list(ids)) == m._encode_long(ids) == m.encode(ids)
+    assert merges.encode([]) == []
