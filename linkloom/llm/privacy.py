@@ -91,16 +91,22 @@ def _contexts(slim: DataFrame) -> DataFrame:
     return rows.select("doc", "entity", F.xxhash64(F.lower("t.value")).alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
 
 
+def distinct_texts(slim: DataFrame) -> DataFrame:
+    """(doc, text): copies count once, and every count of the corpus is over these."""
+    return slim.select(F.md5("text").alias("doc"), "text").groupBy("doc").agg(F.first("text").alias("text"))
+
+
 def disclosing_terms(slim: DataFrame, contexts: DataFrame, least_docs: int = 3, share: float = 0.7) -> DataFrame:
     """(entity, term, share) of terms that reveal at least that share of an entity, with support of least_docs texts."""
-    texts = slim.select(F.md5("text").alias("doc"), "text")
+    texts = distinct_texts(slim)
     pairs = contexts.groupBy("entity", "term", "doc").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     of = contexts.groupBy("entity", "doc").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = pairs.where(F.col("n_et") >= least_docs).join(of, "entity")
     words = texts.select(F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), GAP), lambda w: F.xxhash64(w)))).alias("term"))
     freq = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").cast("double").alias("total")).scalar()
-    pairs = pairs.join(freq, "term").withColumn("total", total)
+    # an entity that every text holds has no information to reveal, and its share no value
+    pairs = pairs.join(freq, "term").withColumn("total", total).where(F.col("n_e") < F.col("total"))
     pmi = F.log2(F.col("total") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     return pairs.withColumn("share", pmi / F.log2(F.col("total") / F.col("n_e"))).where(F.col("share") >= share).select("entity", "term", "share")
 
@@ -109,9 +115,8 @@ def find(docs: DataFrame, least_docs: int = 3, share: float = 0.7, id_col: str =
     """(doc_id, email, ip, card, phone, term) for every row of docs: arrays of (start, end, value) in code points, of
     terms (start, end, share).
 
-    A null text is an empty one and has none. Equal texts have equal results, and count once in the corpus except in a
-    term's own frequency, where copies only lower what it reveals. Null ids and repeats are rows like others, further
-    columns are ignored."""
+    A null text is an empty one and has none. Equal texts have equal results, and count once in the corpus. Null ids
+    and repeats are rows like others, further columns are ignored."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     contexts = _contexts(slim)
     marked = contexts.join(disclosing_terms(slim, contexts, least_docs, share), ["entity", "term"])

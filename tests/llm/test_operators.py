@@ -281,6 +281,14 @@ def test_disclosure(spark):
     assert "zorblatt" not in out[0] and "[EMAIL]" in out[0] and out[12] == rows[6][1]
 
 
+def test_disclosure_is_the_same_with_copies(spark):
+    rows = [(k, f"note {k} by zorblatt to a@b.co about thing{k}") for k in range(3)] + [(10 + k, f"plain about by {k} text number {k}") for k in range(40)]
+    marked = lambda data: {tuple(s[:2] for s in x.term) for x in privacy.find(spark.createDataFrame(data, "doc_id long, text string")).collect() if x.doc_id < 3}
+    once = marked(rows)
+    assert all(once) and marked(rows[:3] * 40 + rows[3:]) == once == marked(rows + rows[3:] * 9)
+    assert privacy.find(spark.createDataFrame(rows[:3] * 2, "doc_id long, text string")).where("size(term) > 0").count() == 0
+
+
 def test_slices():
     texts = ["ab", None, "", "é" * 10, "x" * 50]
     column = pa.array(["skip", *texts]).slice(1)
