@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data, by DataFrame functions only.
 
-Personal data with a fixed form (addresses, numbers) are the protected entities. A term near an entity reveals it as
-far as it carries the entity's information: over the different texts of the corpus, the pointwise mutual information
-log2(N n(e, t) / (n(e) n(t))) against the entity's own log2(N / n(e)). Terms with enough support that reveal more than
-a share of it are marked; above a higher share they are removed, else generalised to their kind."""
+Personal data with a fixed form (addresses, numbers) are the protected entities. A term in a text with an entity, at
+any distance, reveals it as far as it carries the entity's information: over the different texts of the corpus, the
+pointwise mutual information log2(N n(e, t) / (n(e) n(t))) against the entity's own log2(N / n(e)). Terms with enough
+support that reveal more than a share of it are marked wherever they stand in a text that holds the entity; above a
+higher share they are removed, else generalised to their kind."""
 
 from __future__ import annotations
 
@@ -22,21 +23,34 @@ KINDS = {
 }
 ORDER = [*KINDS, "term"]
 TOKEN, GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
-REACH = 80
+STRETCH, PARTS = 128, 64
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value), with value computed once for all lambdas inside."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """All matches with their places, in code points: what lies between them, and they themselves, added up."""
+    """All matches with their places, in code points: what lies between them, and they themselves, added up. Appending
+    copies an array, so each STRETCH of matches is gathered by itself first."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN).alias("out")
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["gap"])
         b = a + F.length(x["value"])
         return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), start, step, lambda acc: acc["out"])
+    def stretch(acc: Column, some: Column) -> Column:
+        return _bind(F.aggregate(some, F.struct(acc["at"].alias("at"), none), step), lambda new: F.struct(new["at"].alias("at"), F.concat(acc["out"], new["out"]).alias("out")))
+
+    def gathered(every: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), F.lit(STRETCH)), lambda k: F.slice(every, k, STRETCH))
+        return F.aggregate(stretches, F.struct(F.lit(0).cast("long").alias("at"), none), stretch, lambda acc: acc["out"])
+
+    return _bind(F.filter(pairs, lambda x: x["value"].isNotNull()), gathered)
 
 
 def _digits(s: Column) -> Column:
@@ -77,40 +91,60 @@ def _found(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*cols, *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
 
 
-def _contexts(slim: DataFrame) -> DataFrame:
-    """(doc, entity, term, start, end): words within reach of an entity, on either side, whole words only."""
-    found = _found(slim.select("text", F.md5("text").alias("doc")), "doc", "text").where(" or ".join(f"size({k}) > 0" for k in KINDS))
-    rows = found.select("doc", "text", F.explode(F.concat(*KINDS)).alias("e"))
-    near = lambda a, b: F.struct(a.alias("at"), F.substring("text", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
-    lo = F.greatest(F.col("e.start") - REACH, F.lit(0).cast("long"))
-    hi = F.least(F.col("e.end") + REACH, F.length("text").cast("long"))
-    rows = rows.select("doc", F.xxhash64(F.lower("e.value")).alias("entity"), F.length("text").alias("size"), F.explode(F.array(near(lo, F.col("e.start")), near(F.col("e.end"), hi))).alias("c"))
-    rows = rows.select("doc", "entity", "size", "c.at", F.length("c.part").alias("n"), F.explode(located(F.col("c.part"), TOKEN)).alias("t"))
-    cut = ((F.col("t.start") == 0) & (F.col("at") > 0)) | ((F.col("t.end") == F.col("n")) & (F.col("at") + F.col("n") < F.col("size")))
-    rows = rows.where(~cut & (F.length("t.value") >= 3))
-    return rows.select("doc", "entity", F.xxhash64(F.lower("t.value")).alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
-
-
 def distinct_texts(slim: DataFrame) -> DataFrame:
     """(doc, text): copies count once, and every count of the corpus is over these."""
     return slim.select(F.md5("text").alias("doc"), "text").groupBy("doc").agg(F.first("text").alias("text"))
 
 
-def disclosing_terms(slim: DataFrame, contexts: DataFrame, least_docs: int = 3, share: float = 0.7) -> DataFrame:
+def _words(text: Column, spans: Column) -> Column:
+    """(start, end, value) of the whole words of three characters or more that no entity touches."""
+    apart = lambda t: ~F.exists(spans, lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"]))
+    return F.filter(located(text, TOKEN), lambda t: (F.length(t["value"]) >= 3) & apart(t))
+
+
+def _hash(value: Column) -> Column:
+    return F.xxhash64(F.lower(value))
+
+
+def _held(found: DataFrame, least_docs: int, total: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc, entity) of all entities with support, and (entity, n_e). An entity that every text holds has no
+    information to reveal."""
+    held = found.select("doc", F.explode(F.array_distinct(F.transform("spans", lambda e: _hash(e["value"])))).alias("entity"))
+    of = held.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= least_docs) & (F.col("n_e") < total))
+    return held.join(of.select("entity"), "entity"), of
+
+
+def disclosing_terms(texts: DataFrame, contexts: DataFrame, of: DataFrame, total: Column, least_docs: int = 3, share: float = 0.7) -> DataFrame:
     """(entity, term, share) of terms that reveal at least that share of an entity, with support of least_docs texts."""
-    texts = distinct_texts(slim)
-    pairs = contexts.groupBy("entity", "term", "doc").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    of = contexts.groupBy("entity", "doc").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = pairs.where(F.col("n_et") >= least_docs).join(of, "entity")
+    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= least_docs).join(of, "entity")
     words = texts.select(F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), GAP), lambda w: F.xxhash64(w)))).alias("term"))
     freq = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.agg(F.count("*").cast("double").alias("total")).scalar()
-    # an entity that every text holds has no information to reveal, and its share no value
-    pairs = pairs.join(freq, "term").withColumn("total", total).where(F.col("n_e") < F.col("total"))
+    pairs = pairs.join(freq, "term").withColumn("total", total)
     pmi = F.log2(F.col("total") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     return pairs.withColumn("share", pmi / F.log2(F.col("total") / F.col("n_e"))).where(F.col("share") >= share).select("entity", "term", "share")
 
 
+def _marked(texts: DataFrame, least_docs: int, share: float) -> DataFrame:
+    """(doc, term): in each text, all words that reveal an entity which this text holds, wherever they stand."""
+    total = texts.agg(F.count("*").cast("double").alias("total")).scalar()
+    found = _found(texts, "doc", "text").select("doc", "text", F.concat(*KINDS).alias("spans")).where("size(spans) > 0")
+    held, of = _held(found, least_docs, total)
+    with_support = found.join(held.groupBy("doc").agg(F.collect_list("entity").alias("entities")), "doc")
+    contexts = with_support.select("doc", "entities", F.explode(F.array_distinct(F.transform(_words(F.col("text"), F.col("spans")), lambda t: _hash(t["value"])))).alias("term"))
+    contexts = contexts.select("doc", F.explode("entities").alias("entity"), "term")
+    terms = contexts.join(disclosing_terms(texts, contexts, of, total, least_docs, share), ["entity", "term"])
+    terms = terms.groupBy("doc", "term").agg(F.max("share").alias("share")).groupBy("doc").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.filter("terms", lambda x: F.pmod(x["term"], F.lit(PARTS)) == k))
+    both = found.join(terms.select("doc", parts.alias("parts")), "doc")
+
+    def revealed(parts: Column) -> Column:
+        of_word = lambda h: F.get(F.filter(F.get(parts, F.pmod(h, F.lit(PARTS)).cast("int")), lambda x: x["term"] == h), F.lit(0))["share"]
+        out = F.transform(_words(F.col("text"), F.col("spans")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _bind(_hash(t["value"]), of_word).alias("share")))
+        return F.filter(out, lambda x: x["share"].isNotNull())
+
+    return both.select("doc", _bind(F.col("parts"), revealed).alias("term"))
+
+
 def find(docs: DataFrame, least_docs: int = 3, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, email, ip, card, phone, term) for every row of docs: arrays of (start, end, value) in code points, of
     terms (start, end, share).
@@ -118,10 +152,7 @@ def find(docs: DataFrame, least_docs: int = 3, share: float = 0.7, id_col: str =
     A null text is an empty one and has none. Equal texts have equal results, and count once in the corpus. Null ids
     and repeats are rows like others, further columns are ignored."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    contexts = _contexts(slim)
-    marked = contexts.join(disclosing_terms(slim, contexts, least_docs, share), ["entity", "term"])
-    marked = marked.groupBy("doc", "start", "end").agg(F.max("share").alias("share"))
-    marked = marked.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
+    marked = _marked(distinct_texts(slim), least_docs, share)
     found = _found(slim.select("doc_id", "text", F.md5("text").alias("doc")), "doc_id", "doc")
     out = found.join(marked, "doc", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:bigint,end:bigint,share:double>>")))
     return out.drop("doc").withColumnRenamed("doc_id", id_col)

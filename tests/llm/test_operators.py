@@ -289,6 +289,19 @@ def test_disclosure_is_the_same_with_copies(spark):
     assert privacy.find(spark.createDataFrame(rows[:3] * 2, "doc_id long, text string")).where("size(term) > 0").count() == 0
 
 
+def test_disclosure_at_any_distance(spark):
+    far = " ".join(f"plain{k % 7}" for k in range(60))
+    rows = [(k, f"Zorblatt {far} {k} a@b.co {far} zorblatt") for k in range(3)] + [(10 + k, f"{far} text {k}") for k in range(40)]
+    rows += [(60, "zorblatt alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: [rows[x.doc_id][1][s.start : s.end] for s in x.term] if x.doc_id < 3 else x.term for x in privacy.find(df).collect()}
+    assert all(got[k] == ["Zorblatt", "zorblatt"] for k in range(3)) and not got[10] and not got[60]
+    assert all("zorblatt" not in x.text.lower() for x in privacy.sanitise(df).where("doc_id < 3").collect())
+    text = "é " + " ".join(f"w{k}" for k in range(1000))
+    spans = spark.createDataFrame([(text,)], "t string").select(privacy.located(F.col("t"), privacy.TOKEN)).first()[0]
+    assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer(r"\w+", text)]
+
+
 def test_slices():
     texts = ["ab", None, "", "é" * 10, "x" * 50]
     column = pa.array(["skip", *texts]).slice(1)
