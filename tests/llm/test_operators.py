@@ -1,8 +1,10 @@
 """Operators against plain versions of the same definitions."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -14,6 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -302,6 +305,28 @@ def test_disclosure_at_any_distance(spark):
     assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer(r"\w+", text)]
 
 
+@pytest.mark.parametrize("sign", ["\u00a0", "\u3000", "\ufeff", "\u200b", "\u00ad", "\u202f", "\f", "\0", "\x1b"])
+def test_secrets_beside_any_character(sign):
+    inner = f"{sign}note{sign} password=hunter2hunter2"
+    for data in (inner.encode(), gzip.compress(inner.encode()), inner.encode("utf-16"), inner.encode("utf-16-le"), inner.encode("utf-16-be")):
+        code = base64.b64encode(data).decode()
+        assert (4, 4 + len(code), "decoded_assign") in secrets.find(f"see {code} .")[1]
+
+
+def test_secrets_over_lines_and_members():
+    r = random.Random(3)
+    inner = " ".join(f"{r.random()}" for _ in range(40)) + " password=hunter2hunter2 " + " ".join(f"{r.random()}" for _ in range(40))
+    for data in (gzip.compress(inner.encode()), zlib.compress(inner.encode()), inner.encode()):
+        code = base64.b64encode(data).decode()
+        for sep in ("\n", "\r\n", "\\n"):
+            lines = sep.join(code[k : k + 76] for k in range(0, len(code), 76))
+            for head, tail in (("x: ", " y"), ("-----BEGIN A-----\n", "\n-----END A-----")):
+                assert "hunter2" not in secrets.redact(head + lines + tail) and (len(head), len(head) + len(lines), "decoded_assign") in secrets.find(head + lines + tail)[1]
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        code = base64.b64encode(pack(b"nothing here") + pack(b"password=hunter2hunter2")).decode()
+        assert secrets.find(code)[1] == [(0, len(code), "decoded_assign")]
+
+
 def test_slices():
     texts = ["ab", None, "", "é" * 10, "x" * 50]
     column = pa.array(["skip", *texts]).slice(1)
