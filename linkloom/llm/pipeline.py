@@ -14,8 +14,11 @@ LEAST_SHARE = 0.4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Depleted documents and those that fail a rule go; from the others, lines above the limits are taken out, and
+    their lengths are set anew. Both by the frequencies of lines in all documents of the stage."""
     gone = rules.apply_rules(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = rules.remove_frequent_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return left.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

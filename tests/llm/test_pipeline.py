@@ -29,5 +29,14 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(seen)
 
 
+def test_frequent_lines_go(spark):
+    own = lambda k: " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(25))
+    rows = [(k, f"all rights reserved by us\n{own(k)}", "en", "h", 1) for k in range(26)] + [(99, f"{own(0)}\n{own(1)}", "en", "h", 1), (100, "short", "en", "h", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in pipeline.quality_rules(spark, docs, SF).collect()}
+    assert set(got) == {*range(26), 99}
+    assert all(got[k].text == own(k) and got[k].n_chars == len(own(k)) for k in range(26)) and got[99].text == rows[26][1]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
