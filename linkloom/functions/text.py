@@ -106,10 +106,3 @@ def gestalt_ratio(a: Column | str, b: Column | str) -> Column:
 def length_ratio(a: Column | str, b: Column | str) -> Column:
     longest = F.greatest(F.length(_c(a)), F.length(_c(b)))
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.least(F.length(_c(a)), F.length(_c(b))) / longest)
-
-
-def examples(values: Column | str) -> Column:
-    """The first five distinct values in order, and how many there are."""
-    every = F.array_sort(F.collect_set(_c(values)))
-    more = F.when(F.size(every) > 5, ", ...").otherwise("")
-    return F.concat(F.size(every).cast("string"), F.lit(" total, e.g. "), F.array_join(F.slice(every, 1, 5), ", "), more)

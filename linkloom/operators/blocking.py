@@ -1,9 +1,10 @@
 """Candidate pairs by shared keys.
 
 Every strategy turns a record into keys. Keys that too many candidate records have are dropped before the join, so a
-key of the other side never expands to more than `cap` pairs a record: the cap bounds skew and no key needs salting.
-All strategies go through one shuffle, keyed (strategy, key); pairs are made distinct with the strategies that found
-them as bits, before anything wide is attached."""
+reference record has at most `cap` pairs by a key. A key that very many reference records have is dealt in parts of
+PART of them, each with a copy of its candidates: a task holds at most PART times cap pairs of a key. One aggregation
+over both sides counts keys; all strategies go through one join, and keys of one side alone are dropped before it.
+Pairs are made distinct with the strategies that found them as bits, before anything wide is attached."""
 
 from __future__ import annotations
 
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import minhash, text
 
 
+#: Reference records that share a key within a task.
+PART = 20_000
+
+
 @dataclass(frozen=True)
 class Strategy:
     """bit: position in a pair's mask. keys: of a row with norm_name, norm_addr. ratio and floor: a key in more than
@@ -55,10 +60,10 @@ def normalized(records: DataFrame, suffixes: bool = True) -> DataFrame:
     return records.select("entity_id", name.alias("norm_name"), text.normalize_text("business_address").alias("norm_addr"), text.normalize_country("country").alias("country"))
 
 
-def keyed(norm: DataFrame, strategies: list[Strategy]) -> DataFrame:
-    """(entity_id, country, strategy, key), each key of a record once; one row for each, from one pass."""
+def keyed(norm: DataFrame, strategies: list[Strategy], *more: str) -> DataFrame:
+    """(entity_id, country, more, strategy, key), each key of a record once; one row for each, from one pass."""
     each = F.flatten(F.array(*map(_tagged, strategies)))
-    return norm.select("entity_id", "country", F.explode(each).alias("k")).select("entity_id", "country", "k.strategy", "k.key")
+    return norm.select("entity_id", "country", *more, F.explode(each).alias("k")).select("entity_id", "country", *more, "k.strategy", "k.key")
 
 
 def _tagged(s: Strategy) -> Column:
@@ -76,8 +81,12 @@ def key_stats(right: DataFrame, norm: DataFrame, strategies: list[Strategy]) ->
     """(strategy, key, df, kept): in how many candidate records each key is, and whether that is within limits."""
     total = norm.agg(F.count("*").cast("double").alias("n")).scalar()
     out = right.groupBy("strategy", "key").agg(F.count("*").alias("df")).withColumn("total", total)
-    limit = F.coalesce(*(F.when(F.col("strategy") == s.bit, limit_of(s, F.col("total"))) for s in strategies))
-    return out.withColumn("kept", F.col("df") <= limit).drop("total")
+    return out.withColumn("kept", F.col("df") <= _limit(strategies)).drop("total")
+
+
+def _limit(strategies: list[Strategy]) -> Column:
+    """The limit of a row's strategy, total being the number of candidate records."""
+    return F.coalesce(*(F.when(F.col("strategy") == s.bit, limit_of(s, F.col("total"))) for s in strategies))
 
 
 def document_frequency(norm: DataFrame, keys: Column) -> DataFrame:
@@ -100,12 +109,15 @@ def compatible(a: Column | str, b: Column | str) -> Column:
 
 def candidate_pairs(s1: DataFrame, candidates: DataFrame, strategies: list[Strategy], suffixes: bool = True, by_country: bool = True) -> DataFrame:
     """(s1_id, candidate_id, strategies) of records that share a kept key; strategies has the bits that found a pair."""
-    left_norm, right_norm = normalized(s1, suffixes), normalized(candidates, suffixes)
-    right = keyed(right_norm, strategies)
-    kept = key_stats(right, right_norm, strategies).where("kept").select("strategy", "key")
-    left = keyed(left_norm, strategies).select(F.col("entity_id").alias("s1_id"), F.col("country").alias("s1_country"), "strategy", "key")
-    right = right.join(kept, ["strategy", "key"]).select(F.col("entity_id").alias("candidate_id"), F.col("country").alias("candidate_country"), "strategy", "key")
-    pairs = left.join(right, ["strategy", "key"])
+    sides = [normalized(x, suffixes).withColumn("ref", F.lit(ref)) for x, ref in ((s1, True), (candidates, False))]
+    total = sides[1].agg(F.count("*").cast("double").alias("n")).scalar()
+    known = keyed(sides[0].union(sides[1]), strategies, "ref").groupBy("strategy", "key").agg(F.count_if("ref").alias("refs"), F.count_if(~F.col("ref")).alias("df"))
+    known = known.where("refs > 0 and df > 0").withColumn("total", total)
+    known = known.where(F.col("df") <= _limit(strategies)).select("strategy", "key", F.ceil(F.col("refs") / PART).cast("int").alias("parts"))
+    left, right = (keyed(x, strategies).join(known, ["strategy", "key"]) for x in sides)
+    left = left.select("strategy", "key", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int").alias("part"), F.col("entity_id").alias("s1_id"), F.col("country").alias("s1_country"))
+    right = right.select("strategy", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("entity_id").alias("candidate_id"), F.col("country").alias("candidate_country"))
+    pairs = left.join(right, ["strategy", "key", "part"])
     if by_country:
         pairs = pairs.where(compatible("s1_country", "candidate_country"))
     return pairs.groupBy("s1_id", "candidate_id").agg(F.bit_or(F.expr("shiftleft(1, strategy)")).cast("int").alias("strategies"))

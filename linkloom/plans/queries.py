@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -15,10 +16,11 @@ from ..sources import readers, writers
 from ..streaming import resume
 from . import fixtures, presets
 
-#: Small limits, so that stop lists and bucket caps bind on small tables.
-SMALL = [blocking.name_tokens(ratio=0.01, floor=20, cap=50), blocking.name_lsh(cap=50), blocking.address_tokens(ratio=0.01, floor=20, cap=50)]
 BITS = {"name_tokens": 0, "lsh": 1, "addr_tokens": 2}
-_LIMITS = {0: (50, 0.01, 20), 1: (50, None, 0), 2: (50, 0.01, 20)}
+_LIMITS = {0: (500, 0.005, 500), 1: (500, None, 0), 2: (500, 0.003, 500)}
+#: Small limits, so that stop lists and bucket caps bind on small tables: only the queries on these use them.
+SMALL = [blocking.name_tokens(ratio=0.01, floor=20, cap=50), blocking.name_lsh(cap=50), blocking.address_tokens(ratio=0.01, floor=20, cap=50)]
+_SMALL_LIMITS = {0: (50, 0.01, 20), 1: (50, None, 0), 2: (50, 0.01, 20)}
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -104,7 +106,8 @@ def _pairs_sql(spec: list[tuple[int, str, object]], limits: dict, country: bool
 _SPEC = [(0, "name", 3), (1, "lsh", (16, 8)), (2, "addr", 3)]
 _FUSED = ([(0, "name", 3), (1, "lsh", (20, 5)), (2, "addr", 2)], {0: (500, 0.005, 100), 1: (2000, None, 0), 2: (500, 0.01, 100)})
 _FULL = ([(0, "name", 3), (1, "tri", None), (2, "addr", 3)], {0: (1000, 0.005, 500), 1: (1000, None, 0), 2: (1000, 0.003, 500)})
-_SMALL_SQL = _pairs_sql(_SPEC, _LIMITS)
+_PAIRS = _pairs_sql(_SPEC, _LIMITS)
+_FEW = _pairs_sql(_SPEC, _SMALL_LIMITS)
 
 
 def _j(a: str, b: str) -> str:
@@ -122,20 +125,20 @@ def _rank(by: str, k: int, src: str = "sc") -> str:
     return f"select *, row_number() over (partition by s1_id order by {by} desc, candidate_id) as rank from {src} qualify rank <= {k}"
 
 
-_SCORED = _SMALL_SQL + ",\n  " + _score_sql(2)
+_SCORED = _PAIRS + ",\n  " + _score_sql(2)
 
 
 # ---- fixtures in Spark ---------------------------------------------------------------------------------------------
 
 
-def _small_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.candidate_pairs(*fixtures.sides(spark, sf_dir), SMALL)
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.candidate_pairs(*fixtures.sides(spark, sf_dir), presets.analysis().strategies)
 
 
 def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(s1_id, candidate_id, prob, label): the cheap score as the probability."""
     s1, cd = fixtures.sides(spark, sf_dir)
-    scored = scoring.score_pairs(_small_pairs(spark, sf_dir).select("s1_id", "candidate_id"), s1, cd)
+    scored = scoring.score_pairs(_pairs(spark, sf_dir).select("s1_id", "candidate_id"), s1, cd)
     label = fixtures.truth(s1, cd).withColumn("label", F.lit(1))
     return scored.join(label, ["s1_id", "candidate_id"], "left").select("s1_id", "candidate_id", F.col("score").alias("prob"), F.coalesce("label", F.lit(0)).alias("label"))
 
@@ -143,6 +146,15 @@ def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROBS = _SCORED + ",\n  pr as (select s1_id, candidate_id, score as prob, case when gt.s1_id is null then 0 else 1 end as label from sc left join gt using (s1_id, candidate_id))"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where Spark runs in one process."""
+    if top := spark.sparkContext.getConf().get("spark.checkpoint.dir", ""):
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="stream-")
+
+
 def _ids(s1: DataFrame) -> DataFrame:
     return s1.select(F.col("entity_id").alias("s1_id"))
 
@@ -209,7 +221,7 @@ def stoplist(spark, sf_dir):
     return blocking.stoplist(blocking.normalized(fixtures.sides(spark, sf_dir)[1]), text.tokens("norm_name", 3), 0.01, 20)
 
 
-@query(_SMALL_SQL + " select strategy, count(*) as keys, count_if(kept) as kept_keys, sum(df)::bigint as rows, coalesce(sum(df) filter (where kept), 0)::bigint as kept_rows, max(df)::bigint as largest from lim group by strategy")
+@query(_FEW + " select strategy, count(*) as keys, count_if(kept) as kept_keys, sum(df)::bigint as rows, coalesce(sum(df) filter (where kept), 0)::bigint as kept_rows, max(df)::bigint as largest from lim group by strategy")
 def bucket_prune_stats(spark, sf_dir):
     norm = blocking.normalized(fixtures.sides(spark, sf_dir)[1])
     stats = blocking.key_stats(blocking.keyed(norm, SMALL), norm, SMALL)
@@ -255,15 +267,20 @@ def block_trigrams(spark, sf_dir):
     return _blocks(spark, sf_dir, blocking.name_trigrams(0))
 
 
-@query(_SMALL_SQL + " select s1_id, candidate_id, strategies from pairs")
+@query(_PAIRS + " select s1_id, candidate_id, strategies from pairs")
 def combine_country(spark, sf_dir):
-    return _small_pairs(spark, sf_dir)
+    return _pairs(spark, sf_dir)
+
+
+@query(_FEW + " select s1_id, candidate_id, strategies from pairs")
+def combine_small_limits(spark, sf_dir):
+    return blocking.candidate_pairs(*fixtures.sides(spark, sf_dir), SMALL)
 
 
 @query(_pairs_sql(_SPEC, _LIMITS, False) + " select count(*) as before, count_if(a.nc = '' or b.nc = '' or a.nc = b.nc) as after from pairs join s1 a on a.entity_id = s1_id join cd b on b.entity_id = candidate_id")
 def country_filter_counts(spark, sf_dir):
     s1, cd = fixtures.sides(spark, sf_dir)
-    pairs = blocking.combine(blocking.candidate_pairs(s1, cd, SMALL, by_country=False))
+    pairs = blocking.combine(blocking.candidate_pairs(s1, cd, presets.analysis().strategies, by_country=False))
     kept = blocking.filter_by_country(pairs, s1, cd).withColumn("kept", F.lit(1))
     return pairs.join(kept, ["s1_id", "candidate_id"], "left").agg(F.count("*").alias("before"), F.count("kept").alias("after"))
 
@@ -271,9 +288,9 @@ def country_filter_counts(spark, sf_dir):
 _ABLATE = "union all ".join(f"select '{n}' as strategy, count_if(s & {1 << b} > 0) / count(*)::double as recall_alone, count_if(s > 0) / count(*)::double - count_if(s & {7 ^ 1 << b} > 0) / count(*)::double as recall_drop from f " for n, b in BITS.items())
 
 
-@query(_SMALL_SQL + ", f as (select coalesce(strategies, 0) as s from gt left join pairs using (s1_id, candidate_id)) " + _ABLATE)
+@query(_PAIRS + ", f as (select coalesce(strategies, 0) as s from gt left join pairs using (s1_id, candidate_id)) " + _ABLATE)
 def strategy_ablation(spark, sf_dir):
-    return evaluation.ablation(_small_pairs(spark, sf_dir), fixtures.truth(*fixtures.sides(spark, sf_dir)), BITS)
+    return evaluation.ablation(_pairs(spark, sf_dir), fixtures.truth(*fixtures.sides(spark, sf_dir)), BITS)
 
 
 _HITS = """
@@ -282,11 +299,11 @@ _HITS = """
   e as (select entity_id as s1_id, coalesce(a, 0) as a, coalesce(c, 0) as c, coalesce(eh.hits, 0) as h from s1 left join ea on ea.s1_id = entity_id left join ec on ec.s1_id = entity_id left join eh on eh.s1_id = entity_id)"""
 
 
-@query(_SMALL_SQL + "," + _HITS.format(pairs="pairs") + """ select sum(h) / sum(a)::double as candidate_recall, round(avg(h / a::double) filter (where a > 0), 9) as macro_candidate_recall, sum(a)::bigint as total_true_matches, sum(h)::bigint as total_hits,
+@query(_PAIRS + "," + _HITS.format(pairs="pairs") + """ select sum(h) / sum(a)::double as candidate_recall, round(avg(h / a::double) filter (where a > 0), 9) as macro_candidate_recall, sum(a)::bigint as total_true_matches, sum(h)::bigint as total_hits,
   sum(c)::bigint as total_candidate_pairs, round(avg(c), 9) as avg_candidates_per_s1, median(c)::double as median_candidates_per_s1, max(c)::bigint as max_candidates_per_s1 from e""")
 def candidate_recall(spark, sf_dir):
     s1, cd = fixtures.sides(spark, sf_dir)
-    out = evaluation.candidate_recall(_small_pairs(spark, sf_dir), _ids(s1), fixtures.truth(s1, cd))
+    out = evaluation.candidate_recall(_pairs(spark, sf_dir), _ids(s1), fixtures.truth(s1, cd))
     return out.withColumn("macro_candidate_recall", F.round("macro_candidate_recall", 9)).withColumn("avg_candidates_per_s1", F.round("avg_candidates_per_s1", 9))
 
 
@@ -295,18 +312,18 @@ def candidate_recall(spark, sf_dir):
 
 @query(_SCORED + " select s1_id, candidate_id, score, overlap from sc")
 def cheap_score(spark, sf_dir):
-    return scoring.score_pairs(_small_pairs(spark, sf_dir).select("s1_id", "candidate_id"), *fixtures.sides(spark, sf_dir))
+    return scoring.score_pairs(_pairs(spark, sf_dir).select("s1_id", "candidate_id"), *fixtures.sides(spark, sf_dir))
 
 
-@query(_SCORED + f" select s1_id, candidate_id, score, rank from ({_rank('score', 5, '(select * from sc where score >= 0.1::double)')})")
+@query(_SCORED + f" select s1_id, candidate_id, score, rank from ({_rank('score', 30, '(select * from sc where score >= 0.1::double)')})")
 def topk_prune(spark, sf_dir):
-    return scoring.prune(_small_pairs(spark, sf_dir), *fixtures.sides(spark, sf_dir), top_k=5, min_score=0.1)
+    return scoring.prune(_pairs(spark, sf_dir), *fixtures.sides(spark, sf_dir), top_k=30, min_score=0.1)
 
 
 @query(_SCORED + f" select entity_id as s1_id, coalesce(string_agg(candidate_id, ' ' order by rank), '') as candidates from s1 left join ({_rank('score', 5)}) on s1_id = entity_id group by 1")
 def pruned_lists(spark, sf_dir):
     s1, cd = fixtures.sides(spark, sf_dir)
-    lists = scoring.nested(scoring.prune(_small_pairs(spark, sf_dir), s1, cd, top_k=5), _ids(s1))
+    lists = scoring.nested(scoring.prune(_pairs(spark, sf_dir), s1, cd, top_k=5), _ids(s1))
     return lists.select("s1_id", F.array_join("candidates", " ").alias("candidates"))
 
 
@@ -325,7 +342,7 @@ def full_scale_topk(spark, sf_dir):
 
 @query(_SCORED + f" select s1_id, candidate_id, overlap, rank from ({_rank('overlap', 20)})")
 def prefilter_overlap(spark, sf_dir):
-    scored = scoring.score_pairs(_small_pairs(spark, sf_dir).select("s1_id", "candidate_id"), *fixtures.sides(spark, sf_dir))
+    scored = scoring.score_pairs(_pairs(spark, sf_dir).select("s1_id", "candidate_id"), *fixtures.sides(spark, sf_dir))
     return scoring.best(scored, 20, "overlap").select("s1_id", "candidate_id", "overlap", "rank")
 
 
@@ -341,7 +358,7 @@ def _impact(levels, with_k: bool) -> str:
 
 def _impacts(spark, sf_dir, k, levels):
     s1, cd = fixtures.sides(spark, sf_dir)
-    pairs = _small_pairs(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
     return evaluation.prune_impact(pairs, scoring.prune(pairs, s1, cd, top_k=k), fixtures.truth(s1, cd), levels)
 
 
@@ -375,7 +392,7 @@ _MATRIX = _SCORED + rf""", fp as (select entity_id, nn, na, nc, trim(coalesce(bu
 
 def _matrix(spark, sf_dir):
     s1, cd = fixtures.sides(spark, sf_dir)
-    return features.feature_matrix(_small_pairs(spark, sf_dir), s1, cd, fixtures.truth(s1, cd))
+    return features.feature_matrix(_pairs(spark, sf_dir), s1, cd, fixtures.truth(s1, cd))
 
 
 _cols = lambda names: ", ".join(["s1_id", "candidate_id", *names])
@@ -421,7 +438,7 @@ _MACRO = "round(avg(f), 9) as macro_f0_5, round(avg(p), 9) as macro_precision, r
 
 
 def _predictions(spark, sf_dir):
-    return scoring.prune(_small_pairs(spark, sf_dir), *fixtures.sides(spark, sf_dir), top_k=1)
+    return scoring.prune(_pairs(spark, sf_dir), *fixtures.sides(spark, sf_dir), top_k=1)
 
 
 def _scores(spark, sf_dir):
@@ -487,16 +504,16 @@ def split_hash(spark, sf_dir):
     return splitting.hash_split(fixtures.entities(spark, sf_dir))
 
 
-@query(_SMALL_SQL + f", x as (select s1_id, {_PART.format('s1_id')} < {int(0.2 * (1 << 32))} as t from pairs) select count(*) as pairs, count_if(t) as test_pairs, count(distinct s1_id) as groups, 0::bigint as leaked from x")
+@query(_PAIRS + f", x as (select s1_id, {_PART.format('s1_id')} < {int(0.2 * (1 << 32))} as t from pairs) select count(*) as pairs, count_if(t) as test_pairs, count(distinct s1_id) as groups, 0::bigint as leaked from x")
 def group_split_leak_check(spark, sf_dir):
-    per = splitting.group_split(_small_pairs(spark, sf_dir)).groupBy("s1_id").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t"))
+    per = splitting.group_split(_pairs(spark, sf_dir)).groupBy("s1_id").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t"))
     return per.agg(F.sum("n").alias("pairs"), F.sum("t").alias("test_pairs"), F.count("*").alias("groups"), F.count_if((F.col("t") > 0) & (F.col("t") < F.col("n"))).alias("leaked"))
 
 
 @query(_SCORED + f", best as ({_rank('score', 3)}) select entity_id as source1_entity_id, coalesce(string_agg(candidate_id, ',' order by candidate_id), '') as matched_entity_ids from s1 left join best on s1_id = entity_id group by 1")
 def matching_results(spark, sf_dir):
     s1, cd = fixtures.sides(spark, sf_dir)
-    return writers.results(scoring.prune(_small_pairs(spark, sf_dir), s1, cd, top_k=3), _ids(s1))
+    return writers.results(scoring.prune(_pairs(spark, sf_dir), s1, cd, top_k=3), _ids(s1))
 
 
 @query(_BASE + " select entity_id as source1_entity_id, '' as matched_entity_ids from s1")
@@ -542,7 +559,7 @@ def validate_rules(spark, sf_dir):
 @query(_SCORED + f", a as ({_rank('overlap', 3)}), b as ({_rank('score', 3)}) select distinct s1_id as s1 from a anti join b using (s1_id, candidate_id)")
 def matches_not_in_candidates(spark, sf_dir):
     s1, cd = fixtures.sides(spark, sf_dir)
-    scored = scoring.score_pairs(_small_pairs(spark, sf_dir).select("s1_id", "candidate_id"), s1, cd)
+    scored = scoring.score_pairs(_pairs(spark, sf_dir).select("s1_id", "candidate_id"), s1, cd)
     lists = lambda by: writers.sorted_lists(scoring.best(scored, 3, by)).select(F.col("s1_id").alias("s1"), F.col("candidates").alias("ids"), F.lit(2).alias("line"))
     return validation.not_in_candidates(lists("overlap"), lists("score"))
 
@@ -554,28 +571,27 @@ def split_exact_shuffle(spark, sf_dir):
 
 @query()
 def gbt_scores(spark, sf_dir):
-    matrix = _matrix(spark, sf_dir)
-    fitted, _ = model.train(matrix, rounds=10)
-    return model.predict(fitted, matrix)
+    """Probabilities of the rows held out."""
+    fitted, held = model.train(_matrix(spark, sf_dir))
+    return model.predict(fitted, held)
 
 
 @query()
 def feature_importance(spark, sf_dir):
     matrix = _matrix(spark, sf_dir)
-    return model.importance(model.train(matrix, rounds=10)[0], matrix)
+    return model.importance(model.train(matrix)[0], matrix)
 
 
 @query()
 def gestalt_features(spark, sf_dir):
     s1, cd = fixtures.sides(spark, sf_dir)
-    return features.feature_matrix(_small_pairs(spark, sf_dir), s1, cd, None, text.gestalt_ratio).select("s1_id", "candidate_id", "name_levenshtein_ratio", "addr_levenshtein_ratio")
+    return features.feature_matrix(_pairs(spark, sf_dir), s1, cd, None, text.gestalt_ratio).select("s1_id", "candidate_id", "name_levenshtein_ratio", "addr_levenshtein_ratio")
 
 
-@query()
+@query(_pairs_sql(*_FUSED) + ", " + _score_sql(2) + f" select entity_id as s1_id, coalesce(string_agg(candidate_id, ' ' order by rank), '') as candidates from s1 left join ({_rank('score', 30)}) on s1_id = entity_id group by 1")
 def resume_stream(spark, sf_dir):
     """The fused run over records that arrive as files, in micro-batches."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="stream-")
-    top = f"{top.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{spark.range(1).select(F.uuid()).first()[0]}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     s1, cd = fixtures.sides(spark, sf_dir)
     s1 = s1.drop("h")
     s1.repartition(4, "entity_id").write.parquet(f"{top}/in")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
@@ -16,8 +16,39 @@ def nullify(df: DataFrame, words: list[str] = MISSING) -> DataFrame:
     return df.select(*(F.when(~F.col(c).isin(words), F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
 
 
-def read_records(spark: SparkSession, path: str, missing: bool = True, sep: str = "\t") -> DataFrame:
-    df = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True)
+def in_order(df: DataFrame) -> DataFrame:
+    """df, just read from files, with file__, block__ and at__: where a row stands; a file's blocks and the rows of a
+    block are in order, whatever tasks read them."""
+    return df.select("*", F.col("_metadata.file_path").alias("file__"), F.col("_metadata.file_block_start").alias("block__"), F.monotonically_increasing_id().alias("at__"))
+
+
+PLACE = ("file__", "block__", "at__")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df, just read from files, with line: its rows counted from 1 over all files in order.
+
+    Only the blocks of files are brought in order, not rows: each block's rows are counted by themselves."""
+    rows = in_order(df)
+    blocks = rows.groupBy("file__", "block__").agg(F.count("*").alias("n"), F.min("at__").alias("first__"))
+    before = F.sum("n").over(Window.orderBy("file__", "block__").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file__", "block__", "first__", F.coalesce(before, F.lit(0)).alias("before__"))
+    out = rows.join(blocks, ["file__", "block__"])
+    return out.select(*df.columns, (F.col("before__") + F.col("at__") - F.col("first__") + 1).alias("line"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): raw lines, numbered from 1; quotes are ordinary characters."""
+    return numbered(spark.read.text(path)).select("line", "value")
+
+
+def read_records(spark: SparkSession, path: str, missing: bool = True, sep: str = "\t", line_breaks: bool = False, head: int | None = None) -> DataFrame:
+    """Records of delimited files with a header, columns that are not there as null. line_breaks: quoted fields may
+    hold line breaks; each file is then read by one task. head: only the first so many records in the files' order."""
+    df = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=line_breaks)
+    if head is not None:
+        # tasks cut their own rows first, so no more than head rows of a task are brought in order
+        df = in_order(df).orderBy(*PLACE).limit(head)
     df = df.select(*(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("entity_id", "business_name", "business_address", "country")))
     return nullify(df) if missing else df
 
@@ -29,15 +60,14 @@ def parse_ids(c: Column | str) -> Column:
     return F.when(c.isNull() | F.lower(F.trim(c)).isin("", "nan"), none).otherwise(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
-def ground_truth(rows: DataFrame, order: str | None = None) -> DataFrame:
+def ground_truth(rows: DataFrame, *order: str) -> DataFrame:
     """(s1_id, matches) of rows source1_entity_id, matched_entity_ids; of repeated ids the last by order stays."""
-    rows = rows.withColumn("at__", F.col(order) if order else F.monotonically_increasing_id())
-    last = rows.groupBy(F.col("source1_entity_id").alias("s1_id")).agg(F.max_by("matched_entity_ids", "at__").alias("ids"))
-    return last.select("s1_id", parse_ids("ids").alias("matches"))
+    last = rows.groupBy(F.col("source1_entity_id").alias("s1_id")).agg(F.max(F.struct(*order, F.coalesce("matched_entity_ids", F.lit("")).alias("ids"))).alias("last"))
+    return last.select("s1_id", parse_ids("last.ids").alias("matches"))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    return ground_truth(spark.read.csv(path, sep="\t", header=True, quote='"', escape='"'))
+    return ground_truth(in_order(spark.read.csv(path, sep="\t", header=True, quote='"', escape='"')), *PLACE)
 
 
 def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
@@ -64,12 +94,14 @@ def read_candidates(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_progress(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(s1_id, candidates) of JSON lines, the last of repeated ids; bad lines are passed over, or raise if strict."""
-    rows = spark.read.json(path, "s1_id string, candidates array<string>", mode="FAILFAST" if strict else "DROPMALFORMED").where("s1_id is not null")
-    return rows.withColumn("at__", F.monotonically_increasing_id()).groupBy("s1_id").agg(F.max_by("candidates", "at__").alias("candidates"))
+    rows = in_order(spark.read.json(path, "s1_id string, candidates array<string>", mode="FAILFAST" if strict else "DROPMALFORMED"))
+    return rows.where("s1_id is not null").groupBy("s1_id").agg(F.max_by("candidates", F.struct(*PLACE)).alias("candidates"))
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """(s1_id, split) of one JSON object with train_s1_ids and val_s1_ids."""
+    """(s1_id, split) of a file .json with one object of train_s1_ids and val_s1_ids, else of Parquet with these columns."""
+    if not path.rstrip("/").endswith(".json"):
+        return spark.read.schema("s1_id string, split string").parquet(path).where("s1_id is not null")
     one = spark.read.schema("train_s1_ids array<string>, val_s1_ids array<string>").json(path, multiLine=True)
     return one.select(F.explode("train_s1_ids").alias("s1_id"), F.lit("train").alias("split")).union(one.select(F.explode("val_s1_ids"), F.lit("val")))
 
@@ -86,8 +118,8 @@ def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(id): the trimmed first fields of a file's lines, without its header and blank lines."""
-    lines = spark.read.text(path).rdd.map(lambda r: r.value).zipWithIndex().filter(lambda x: x[1] > 0).map(lambda x: (x[0],)).toDF("value string")
-    return lines.where(F.trim("value") != "").select(F.trim(F.substring_index("value", "\t", 1)).alias("id")).distinct()
+    lines = read_lines(spark, path).where((F.col("line") > 1) & (F.trim("value") != ""))
+    return lines.select(F.trim(F.substring_index("value", "\t", 1)).alias("id")).distinct()
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

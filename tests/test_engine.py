@@ -1,10 +1,13 @@
+import difflib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import blocking, evaluation, scoring, splitting, validation
+from linkloom.functions import text
+from linkloom.operators import blocking, evaluation, model, scoring, splitting, validation
 from linkloom.plans import fixtures, presets
 from linkloom.sources import readers, writers
 
@@ -70,6 +73,47 @@ def test_staged_equals_fused(spark, small):
     assert presets.run_preset(s1, cd, p).exceptAll(staged).isEmpty()
 
 
+def test_parts_of_a_key(spark, small, monkeypatch):
+    s1, cd, pairs = small
+    monkeypatch.setattr(blocking, "PART", 3)
+    parted = blocking.candidate_pairs(s1, cd, presets.analysis().strategies)
+    assert parted.exceptAll(pairs).isEmpty() and pairs.exceptAll(parted).isEmpty()
+
+
+def test_gestalt_is_difflib(spark):
+    words = ["", "a", "ab", "abcd", "bcda", "the quick fox", "quick the box", "éa", "ae", "aaaa", "aabaa", "日本 語", "本日"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for r in df.select("a", "b", text.gestalt_ratio("a", "b").alias("x")).collect():
+        assert r.x == difflib.SequenceMatcher(None, r.a, r.b).ratio()
+
+
+def test_exact_split_is_a_seeded_shuffle(spark, small):
+    ids = sorted(r.entity_id for r in small[0].select("entity_id").distinct().collect())
+    random.Random(42).shuffle(ids)
+    got = {r.s1_id: r.split for r in splitting.exact_split(small[0]).collect()}
+    assert got == {x: "train" if k < int(0.8 * len(ids)) else "val" for k, x in enumerate(ids)}
+
+
+def test_classifier(spark):
+    rows = [(f"S1-{k // 4}", f"S2-{k}", float(k % 7 > 3) + (k % 11) / 40, float(k % 5), None if k % 50 == 0 else int(k % 7 > 3)) for k in range(1600)]
+    matrix = spark.createDataFrame(rows, "s1_id string, candidate_id string, good double, noise double, label int")
+    fitted, held = model.train(matrix, rounds=30)
+    assert held.where("label is null").isEmpty() and 1 < len(fitted.stages[-1].trees) <= 30
+    inner = model.group_split(matrix).where("not is_test")
+    assert held.join(inner, "s1_id", "left_semi").isEmpty()
+    scored = model.predict(fitted, held)
+    assert evaluation.roc_auc(scored).first()[0] > 0.99
+    gains = model.importance(fitted, matrix).collect()
+    assert gains[0].feature == "good" and [g.gain for g in gains] == sorted((g.gain for g in gains), reverse=True)
+
+
+def test_order_of_sweep(spark, small):
+    s1, cd, pairs = small
+    probs = scoring.score_pairs(pairs.select("s1_id", "candidate_id"), s1, cd).withColumnRenamed("score", "prob")
+    rows = evaluation.threshold_sweep(probs, s1.select(F.col("entity_id").alias("s1_id")), fixtures.truth(s1, cd)).collect()
+    assert [(-r.macro_f0_5, r.match_threshold, r.singleton_threshold) for r in rows] == sorted((-r.macro_f0_5, r.match_threshold, r.singleton_threshold) for r in rows)
+
+
 def test_plans(spark, small):
     s1, cd, _ = small
     plan = presets.run_preset(s1, cd, presets.fused())._jdf.queryExecution().executedPlan().toString()
@@ -133,6 +177,31 @@ def test_validator_warnings(spark, tmp_path):
     assert {r.rule for r in validation.validate(spark, m, c, None).collect()} == {"VAL16"}
 
 
+def test_lines_are_in_order(spark, tmp_path):
+    for k in range(3):
+        write(tmp_path / f"part-{k}.txt", "".join(f"{k} {j} {'x' * (j % 50)}\n" for j in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("5k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [r.value.split()[:2] for r in readers.read_lines(spark, str(tmp_path)).orderBy("line").collect()]
+            assert got == [[str(k), str(j)] for k in range(3) for j in range(2000)]
+            head = readers.read_records(spark, write(tmp_path / "r.tsv", "entity_id\tcountry\n" + "".join(f"S1-{j}\t\n" for j in range(3000))), head=7).collect()
+            assert [r.entity_id for r in head] == [f"S1-{j}" for j in range(7)]
+            (tmp_path / "r.tsv").unlink()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    twice = write(tmp_path / "g.tsv", HEAD + "S1-1\tS2-1\n" + "S1-2\t\n" * 900 + "S1-1\tS2-2,S2-3\n")
+    assert {r.s1_id: r.matches for r in readers.read_ground_truth(spark, twice).collect()} == {"S1-1": ["S2-2", "S2-3"], "S1-2": []}
+
+
+def test_not_utf8(spark, tmp_path):
+    ids = spark.createDataFrame([("S1-1",)], "id string")
+    (tmp_path / "m.tsv").write_bytes(HEAD.encode() + b"S1-1\tS2-\xff\n")
+    found = validation.validate(spark, str(tmp_path / "m.tsv"), None, ids)
+    assert {r.rule for r in found.collect()} == {"VAL14", "VAL15", "VAL17"} and not validation.passed(found)
+
+
 def test_sources_and_sinks(spark, tmp_path, small):
     s1, cd, pairs = small
     path = write(tmp_path / "r.tsv", 'entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tNA\t"a\tb"\tNA\nS1-2\tX\t\tus\n')
@@ -146,8 +215,13 @@ def test_sources_and_sinks(spark, tmp_path, small):
     writers.write_tsv(writers.empty_results(s1.select(F.col("entity_id").alias("s1_id"))), str(tmp_path / "e"))
     body = "".join((tmp_path / "e" / f).read_text() for f in os.listdir(tmp_path / "e") if f.endswith(".csv"))
     assert '"' not in body and "S1-0\t\n" in body
-    writers.write_split(splitting.hash_split(s1), str(tmp_path / "s"))
-    assert readers.read_split(spark, str(tmp_path / "s")).exceptAll(splitting.hash_split(s1)).isEmpty()
+    halves = splitting.hash_split(s1)
+    writers.write_split(halves, str(tmp_path / "s"))
+    n = writers.export_split(halves, str(tmp_path / "s.json"))
+    one = json.loads((tmp_path / "s.json").read_text())
+    assert n == halves.count() == len(one["train_s1_ids"]) + len(one["val_s1_ids"]) and one["val_s1_ids"] == sorted(one["val_s1_ids"])
+    for at in ("s", "s.json"):
+        assert readers.read_split(spark, str(tmp_path / at)).exceptAll(halves).isEmpty()
     p = write(tmp_path / "p.jsonl", '{"s1_id": "S1-1", "candidates": ["a"]}\nbad\n{"s1_id": "S1-1", "candidates": ["b"]}\n')
     assert readers.read_progress(spark, p).first().candidates == ["b"]
     assert readers.read_ids(spark, write(tmp_path / "i.tsv", "id\tx\n a \ty\n\nb\n")).count() == 2
