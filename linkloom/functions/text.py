@@ -70,6 +70,11 @@ def numeric_tokens(x: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(x), F.lit(NUMBER), F.lit(0)))
 
 
+def hashed(x: Column | str) -> Column:
+    """The distinct members of an array as 64-bit hashes: pairs carry and compare 8 bytes a member, not strings."""
+    return F.transform(F.array_distinct(_c(x)), lambda t: F.xxhash64(t))
+
+
 def overlap(a: Column | str, b: Column | str) -> Column:
     """Common members of arrays without repeats."""
     return F.size(F.array_intersect(_c(a), _c(b)))

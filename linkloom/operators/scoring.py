@@ -12,9 +12,9 @@ WEIGHTS = (0.45, 0.35, 0.20)
 
 
 def profiles(records: DataFrame, min_len: int = 2, suffixes: bool = True) -> DataFrame:
-    """(entity_id, nt, ng, at): distinct name tokens, name trigrams and address tokens, once a record."""
+    """(entity_id, nt, ng, at): distinct name tokens, name trigrams and address tokens, once a record, as hashes."""
     n = normalized(records, suffixes)
-    return n.select("entity_id", F.array_distinct(text.tokens("norm_name", min_len)).alias("nt"), F.array_distinct(text.char_ngrams("norm_name")).alias("ng"), F.array_distinct(text.tokens("norm_addr", min_len)).alias("at"))
+    return n.select("entity_id", text.hashed(text.tokens("norm_name", min_len)).alias("nt"), text.hashed(text.char_ngrams("norm_name")).alias("ng"), text.hashed(text.tokens("norm_addr", min_len)).alias("at"))
 
 
 def cheap_score(a: str, b: str, weights: tuple[float, float, float] = WEIGHTS) -> Column:
