@@ -37,14 +37,18 @@ def score_pairs(pairs: DataFrame, s1: DataFrame, candidates: DataFrame, min_len:
     return out.select(*(out[c] for c in pairs.columns), cheap_score("p_", "q_", weights).alias("score"), text.overlap("p_nt", "q_nt").alias("overlap"))
 
 
+def ranked(scored: DataFrame, by: str = "score") -> DataFrame:
+    """scored with rank: the place of each pair among those of its s1_id by the values of by, ties by candidate_id."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.col(by).desc(), F.col("candidate_id"))))
+
+
 def best(scored: DataFrame, k: int, by: str = "score", floor: float | None = None) -> DataFrame:
     """The k pairs of each s1_id with the highest values of by, with their rank; ties by candidate_id.
 
     A rank filter over this window is planned as a per-task limit first, so a record's pairs are cut before the shuffle."""
     if floor is not None:
         scored = scored.where(F.col(by) >= floor)
-    w = Window.partitionBy("s1_id").orderBy(F.col(by).desc(), F.col("candidate_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked(scored, by).where(F.col("rank") <= k)
 
 
 def prune(pairs: DataFrame, s1: DataFrame, candidates: DataFrame, top_k: int = 30, min_score: float = 0.0, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:

@@ -356,20 +356,23 @@ def _impact(levels, with_k: bool) -> str:
   pb as pairs_before, pa as pairs_after, pb / n::double as avg_cands_before, pa / n::double as avg_cands_after, pb / pa::double as reduction_ratio, (pb - pa) / pb::double * 100 as volume_reduction_pct from o, g"""
 
 
-def _impacts(spark, sf_dir, k, levels):
+def _impacts(spark, sf_dir, levels):
+    """All pairs are ranked once; what pruning keeps at any k is read from the ranks."""
     s1, cd = fixtures.sides(spark, sf_dir)
-    pairs = _pairs(spark, sf_dir)
-    return evaluation.prune_impact(pairs, scoring.prune(pairs, s1, cd, top_k=k), fixtures.truth(s1, cd), levels)
+    scored = scoring.score_pairs(_pairs(spark, sf_dir).select("s1_id", "candidate_id"), s1, cd)
+    return evaluation.rank_impact(scoring.ranked(scored), fixtures.truth(s1, cd), levels)
 
 
 @query(_impact((5,), False))
 def prune_impact(spark, sf_dir):
-    return _impacts(spark, sf_dir, 5, None)
+    s1, cd = fixtures.sides(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
+    return evaluation.prune_impact(pairs, scoring.prune(pairs, s1, cd, top_k=5), fixtures.truth(s1, cd))
 
 
 @query(_impact((1, 2, 5, *evaluation.PRUNE_LEVELS), True))
 def topk_sweep(spark, sf_dir):
-    return _impacts(spark, sf_dir, 50, (1, 2, 5, *evaluation.PRUNE_LEVELS))
+    return _impacts(spark, sf_dir, (1, 2, 5, *evaluation.PRUNE_LEVELS))
 
 
 # ---- features ------------------------------------------------------------------------------------------------------
