@@ -102,7 +102,8 @@ class Automaton:
     """The transducer of one pre-token: states are made as they are met, each transition carries the change of the
     token count. Transitions live in an open-addressed table, so that many texts advance together.
 
-    When the table fills up, it and the states are dropped and made anew: memory stays bounded, results the same."""
+    A table that is three quarters full grows. Between texts, or pieces of one, a user drops a large table and its states (see
+    full): they are made anew, so memory stays bounded, results the same."""
 
     def __init__(self, merges: Merges, log_size: int = 21):
         self.merges, self.log_size = merges, log_size
@@ -139,12 +140,35 @@ class Automaton:
         return self.child[node][b]
 
     def clear(self) -> None:
-        self.keys = np.full(1 << self.log_size, -1, np.int64)
-        self.vals = np.zeros(1 << self.log_size, np.int64)
+        self._size(self.log_size)
         self.filled = 0
         self.states = [(0, ((START, 0),))]
         self.number = {self.states[0]: 0}
 
+    def _size(self, log: int) -> None:
+        self.log = log
+        self.keys, self.vals = np.full(1 << log, -1, np.int64), np.zeros(1 << log, np.int64)
+
+    def _put(self, k: int, v: int) -> None:
+        at = (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.log
+        while self.keys[at] != -1:
+            at = (at + 1) & (len(self.keys) - 1)
+        self.keys[at], self.vals[at] = k, v
+
+    def _enlarge(self) -> None:
+        have = self.keys >= 0
+        keys, vals = self.keys[have], self.vals[have]
+        self._size(self.log + 1)
+        while len(keys):  # all that are left try their next place; the first of each place gets it
+            at = self._place(keys)
+            while len(at) and (self.keys[at] != -1).any():
+                at = np.where(self.keys[at] != -1, (at + 1) & (len(self.keys) - 1), at)
+            _, first = np.unique(at, return_index=True)
+            self.keys[at[first]], self.vals[at[first]] = keys[first], vals[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, vals = keys[rest], vals[rest]
+
     def _chain(self, node: int) -> list[int]:
         out = [node]
         while node:
@@ -175,7 +199,7 @@ class Automaton:
         return got, change
 
     def _place(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log_size)).astype(np.int64)
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """Packed transitions, -1 where there is none yet."""
@@ -201,13 +225,12 @@ class Automaton:
         if len(new):
             for k in np.unique(key[new]).tolist():
                 to, change = self.grow(k >> 8, k & 255)
-                at = int(self._place(np.array([k], np.int64))[0])
-                while self.keys[at] != -1:
-                    at = (at + 1) & (len(self.keys) - 1)
-                self.keys[at], self.vals[at] = k, to << 8 | change + 128
+                self._put(k, to << 8 | change + 128)
                 self.filled += 1
+                if 4 * self.filled > 3 * len(self.keys):
+                    self._enlarge()
             got[new] = self._find(key[new])
         return got >> 8, (got & 255) - 128
 
     def full(self) -> bool:
-        return self.filled > len(self.keys) // 2
+        return 2 * self.filled > 1 << self.log_size

@@ -6,10 +6,13 @@ classes. The second reads a pre-token's bytes; its transitions carry the change
 bpe.Automaton), and a flag puts it back to its start.
 
 Texts are dealt in chunks. A chunk's map sends the state before it to the state after it and the tokens counted. From
-the first flag in the chunk on, this no longer depends on the state before: all chunks run that part side by side.
-Then the maps compose from left to right: where a chunk has a flag, its map is constant and the next chunk's entry
-state is known at once; the parts before the flags run side by side again. Only chunks without any flag (a pre-token
-over a whole chunk) make one wait for another."""
+the first flag in the chunk on, this no longer depends on the state before: all chunks run that part side by side, and
+the map of a chunk with a flag sends all states to one. The maps of the parts before the flags, and of chunks without
+any, are tabled: at first where the chunk before leaves off, and for a chunk without a flag also at the start state, as
+if a pre-token began with it; then at every state that an entry of the table before leads to, until the tables are
+closed. As the machine soon forgets where it began, that takes few rounds, in each of which all chunks run side by
+side. The tables then compose in a parallel prefix scan: each entry is joined with the one it leads to, and in every
+round the stretches that entries stand for double."""
 
 from __future__ import annotations
 
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from ._common import DIGIT, GAP, LETTER, OTHER, arrow_map, char_classes, slices, texts_of
 
-CHUNK = 96
+#: Bytes of a chunk, and bytes that run at once.
+CHUNK, PIECE = 96, 1 << 19
+
+
 def pre_token_begins(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Flags of the bytes at which a pre-token begins, for
     `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`."""
@@ -108,42 +114,70 @@ class Counter:
             rows = np.clip(np.searchsorted(offs, every[:-1], "right") - 1, 0, len(rows) - 1)
             data, offs = data[keep], shift[every]
         total = np.zeros(len(extra), np.int64)
-        if len(data):
-            full = offs[:-1] < offs[1:]
-            begin, end, rows = offs[:-1][full], offs[1:][full], rows[full]
-            np.add.at(total, rows, self._count(data, np.append(begin, end[-1]), begin, end))
+        full = offs[:-1] < offs[1:]
+        begin, end, rows = offs[:-1][full], offs[1:][full], rows[full]
+        lo = 0
+        while lo < len(begin):
+            hi = max(lo + 1, int(np.searchsorted(end, begin[lo] + PIECE, "right")))
+            some, first, last = data[begin[lo] : end[hi - 1]], begin[lo:hi] - begin[lo], end[lo:hi] - begin[lo]
+            if hi == lo + 1 and len(some) > PIECE:
+                for piece, flags in self._pieces(some):
+                    total[rows[lo]] += self._count(piece, flags, np.array([0]), np.array([len(piece)]))[0]
+            else:
+                np.add.at(total, rows[lo:hi], self._count(some, pre_token_begins(some, np.append(first, last[-1])), first, last))
+            lo = hi
         return total + extra
 
-    def _count(self, data, offs, begin, end):
+    @staticmethod
+    def _pieces(data: np.ndarray):
+        """One text in pieces that end where a pre-token begins, with their flags. Flags depend on a few characters on
+        either side; only a pre-token longer than a piece makes a piece longer."""
+        flags, n, near = np.zeros(len(data), bool), len(data), 64
+        lead = lambda k: next(j for j in range(k, -1, -1) if j == n or data[j] & 0xC0 != 0x80)  # noqa: E731  a character's begin
+        for lo in range(0, n, PIECE):
+            a, b = lead(max(0, lo - near)), lead(min(n, lo + PIECE + near))
+            flags[lo : lo + PIECE] = pre_token_begins(data[a:b], np.array([0, b - a]))[lo - a :][:PIECE]
+        marks, at = np.append(np.flatnonzero(flags), n), 0
+        while at < n:
+            k = max(int(np.searchsorted(marks, at + PIECE, "right")) - 1, int(np.searchsorted(marks, at, "right")))
+            yield data[at : marks[k]], flags[at : marks[k]]
+            at = int(marks[k])
+
+    def _count(self, data, flags, begin, end):
+        """Tokens of each of the texts [begin, end), which begin with a flag."""
         if self.machine.full():
             self.machine.clear()
-        flags = pre_token_begins(data, offs)
         chunks = (end - begin + CHUNK - 1) // CHUNK
         owner = np.repeat(np.arange(len(begin)), chunks)
         at = begin[owner] + CHUNK * (np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks))
         to = np.minimum(at + CHUNK, end[owner])
         marks = np.flatnonzero(flags)
-        after = np.searchsorted(marks, at)
-        flag = np.minimum(np.append(marks, len(data))[after], to)  # the first flag, or the chunk's end
+        flag = np.minimum(np.append(marks, len(data))[np.searchsorted(marks, at)], to)  # the first, or the chunk's end
         leave, count = self._run(data, flags, flag, to - flag, np.zeros(len(at), np.int64))
-        entry = np.full(len(at), -1, np.int64)
-        constant = flag < to
-        nxt = np.arange(1, len(at) + 1)
-        ready = np.flatnonzero(constant)
-        ready, leaving = nxt[ready], leave[ready]
-        while True:
-            ok = ready < len(at)
-            ready, leaving = ready[ok], leaving[ok]
-            ok = flag[ready] > at[ready]
-            ready, leaving = ready[ok], leaving[ok]
-            if not len(ready):
-                break
-            entry[ready] = leaving
-            out, more = self._run(data, flags, at[ready], flag[ready] - at[ready], leaving)
-            count[ready] += more
-            onward = ~constant[ready]
-            ready, leaving = ready[onward] + 1, out[onward]
-        return np.bincount(owner, weights=count, minlength=len(begin)).astype(np.int64)
+        total = np.bincount(owner, weights=count, minlength=len(begin)).astype(np.int64)
+        needs, is_open = flag > at, flag == to
+        ahead = np.append(needs[1:], False)  # only chunks of the same text have bytes before their first flag
+        known = np.flatnonzero(~is_open & ahead)
+        start = known + 1 << 32 | leave[known]
+        new = np.unique(np.concatenate((start, np.flatnonzero(is_open & ahead) << 32)))
+        keys, links, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        every = keys[0]
+        while len(new):  # a key is a chunk and a state before it, its link the key after it
+            chunk = new >> 32
+            out, more = self._run(data, flags, at[chunk], flag[chunk] - at[chunk], new & 0xFFFFFFFF)
+            onward = is_open[chunk] & ahead[chunk]
+            link = np.where(onward, chunk + 1 << 32 | out, -1)
+            keys.append(new), links.append(link), counts.append(more)
+            every = np.sort(np.concatenate((every, new)))
+            new = np.setdiff1d(link[onward], every)
+        order = np.argsort(np.concatenate(keys))
+        link, counts = np.concatenate(links)[order], np.concatenate(counts)[order]
+        link = np.where(link < 0, len(every), np.searchsorted(every, link))
+        link, counts = np.append(link, len(every)), np.append(counts, 0)
+        while (link < len(every)).any():
+            counts, link = counts + counts[link], link[link]
+        np.add.at(total, owner[known], counts[np.searchsorted(every, start)])
+        return total
 
 
 @lru_cache(4)
