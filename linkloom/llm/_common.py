@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -30,22 +31,60 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{have}" if have else ROOT
 
 
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Workers live on between tasks: what they no longer use goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, and only if Spark runs in one process:
+    elsewhere driver and executors share no folder that this could guess."""
+    sc = spark.sparkContext
+    if top := sc.getConf().get("spark.checkpoint.dir", ""):
+        return top.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """df, computed once and written to the folder in spark.checkpoint.dir; its lineage ends there.
 
     by: a column that the rows are dealt by; later joins on it find them in place and don't shuffle them again (the
-    plan keeps that knowledge only without adaptive execution, which is off while it is made). Only where
-    spark.checkpoint.dir is empty (tests in one process) a temporary folder stands in. Collecting garbage lets Spark
-    delete the shuffle files of what was cut before."""
+    plan keeps that knowledge only without adaptive execution, which is off while it is made). Collecting garbage lets
+    Spark delete the shuffle files of what was cut before, and what was cut itself where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(spark))
     for_now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}
     if by is not None:
         df = df.repartition(shuffle_parts(spark), by)
@@ -115,6 +154,21 @@ WORD[[9, 10, 11, 12, 13, 32]] = False
 U64 = np.uint64
 
 
+def between_words(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """One text in pieces of about limit bytes that end with white space; only a longer word makes a longer piece."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(n, lo + limit)
+        if hi < n:
+            gaps = np.flatnonzero(~WORD[data[lo:hi]])
+            while not len(gaps) and hi < n:
+                at, hi = hi, min(n, hi + limit)
+                gaps = np.flatnonzero(~WORD[data[at:hi]]) + at - lo
+            hi = lo + int(gaps[-1]) + 1 if len(gaps) else n
+        yield data[lo:hi]
+        lo = hi
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(30))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LETTER, U64, arrow_map, char_classes, edges_between, mix, slices, texts_of
+from ._common import LETTER, U64, arrow_map, char_classes, edges_between, mix, raw, slices, texts_of
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -61,7 +61,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        for lo, hi, data, offs in slices(batch.column(0), 1 << 21):
+        for lo, hi, data, offs in slices(batch.column(0), 1 << 18):
             z, script, gram, offs = letters(data, offs)
             names = sorted(set(langs[lo:hi]))
             own = np.repeat([names.index(x) for x in langs[lo:hi]], np.diff(offs))
@@ -130,41 +130,114 @@ def best_paths(score: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def spans(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float):
-    """(word begins, word ends, languages, words of each text as offsets) in characters of the texts joined."""
+def word_scores(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word begins, word ends, words of each text as offsets, score of each word by languages), in characters of the
+    texts joined. Languages are summed one by one, so that memory grows with words, not characters, by languages."""
     z, script, gram, offs = letters(data, offs)
     begins, ends = edges_between(z > 0, offs)
     at = np.searchsorted(begins, offs)
     score = np.zeros((len(begins), len(model.langs)))
     if len(begins) and model.langs:
-        sums = np.concatenate((np.zeros((1, len(model.langs))), np.cumsum(np.where((z > 0)[:, None], model.score[gram], 0), axis=0, dtype=np.float64)))
-        score = np.round(sums[ends] - sums[begins], 6)
-        used = np.bitwise_or.reduceat(np.append(np.uint32(1) << script.astype(np.uint32), np.uint32(0)), np.stack((begins, ends), 1).ravel())[::2]
+        inner = z > 0
+        gram, edges = gram[inner], np.cumsum(ends - begins) - (ends - begins)
+        for k in range(len(model.langs)):
+            score[:, k] = np.add.reduceat(model.score[:, k][gram], edges, dtype=np.float64)
+        score = np.round(score, 6)
+        used = np.bitwise_or.reduceat(np.uint32(1) << script[inner].astype(np.uint32), edges)
         can = np.zeros((len(begins), len(model.langs)), bool)
         for k in np.unique(used).tolist():
             kinds = [s for s in range(len(NAMES)) if k >> s & 1]
             can[used == k] = model.uses[:, kinds].all(axis=1)
         can |= ~can.any(axis=1, keepdims=True)
         score = np.where(can, score, score.min(axis=1, keepdims=True) - 20.0)
+    return begins, ends, at, score
+
+
+def spans(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float):
+    """(word begins, word ends, languages, words of each text as offsets) in characters of the texts joined."""
+    begins, ends, at, score = word_scores(model, data, offs)
     path = best_paths(score, at, penalty) if len(begins) and model.langs else np.zeros(len(begins), np.int64)
     return begins, ends, path, at
 
 
+def _onward(score: np.ndarray, now: np.ndarray | None, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """The best sums after a piece's words from those before it (None: a text's begin), and each word's way back."""
+    own, back = np.arange(score.shape[1]), np.zeros(score.shape, np.int32)
+    for j, more in enumerate(score):
+        if now is None:
+            now, back[j] = more.copy(), own
+            continue
+        top = int(now.argmax())
+        change = now[top] - penalty > now
+        back[j] = np.where(change, top, own)
+        now = np.where(change, now[top] - penalty, now) + more
+    return now, back
+
+
+def long_spans(model: Model, data: np.ndarray, penalty: float, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(letters, languages) of the words of one text, piece by piece from the last. Pieces end at a space, the best
+    sums go from piece to piece, and the way back through a piece is found again when its turn comes."""
+    cuts, gaps = [0], np.flatnonzero(data == 32)
+    while len(data) - cuts[-1] > limit:
+        k = int(np.searchsorted(gaps, cuts[-1] + limit, "right")) - 1
+        if k < 0 or gaps[k] <= cuts[-1]:
+            k = int(np.searchsorted(gaps, cuts[-1], "right"))
+        if k >= len(gaps):
+            break
+        cuts.append(int(gaps[k]))
+    cuts.append(len(data))
+    piece = lambda k: word_scores(model, data[cuts[k] : cuts[k + 1]], np.array([0, cuts[k + 1] - cuts[k]]))
+    before: list[np.ndarray | None] = [None]
+    for k in range(len(cuts) - 1):
+        score = piece(k)[3]
+        before.append(_onward(score, before[-1], penalty)[0] if len(score) else before[-1])
+    if before[-1] is None:
+        return
+    state = int(before[-1].argmax())
+    for k in range(len(cuts) - 2, -1, -1):
+        begins, ends, _, score = piece(k)
+        back, path = _onward(score, before[k], penalty)[1].tolist() if len(score) else [], np.zeros(len(score), np.int64)
+        for j in range(len(score) - 1, -1, -1):
+            path[j] = state
+            state = back[j][state]
+        yield ends - begins, path
+
+
+def _judge(model: Model, penalty: float, column: pa.Array) -> tuple[list, list, list]:
+    """For each text its language, the share of that, and the number of spans. Texts of like lengths go together, as
+    those of a slice advance together, word by word."""
+    lang, share, runs = [], [], []
+    width = max(1, len(model.langs))
+    limit = max(1 << 15, (1 << 21) // max(4, width))
+    order = np.argsort(np.diff(raw(column)[1]), kind="stable")
+    back = np.argsort(order)
+    for lo, hi, data, offs in slices(column.take(pa.array(order)), limit):
+        weight, n = np.zeros((hi - lo, width)), np.zeros(hi - lo, np.int64)
+        if hi - lo == 1 and len(data) > 2 * limit and model.langs:
+            later = None
+            for size, path in long_spans(model, data, penalty, limit):
+                weight[0] += np.bincount(path, size, minlength=width)
+                n[0] += int((path[1:] != path[:-1]).sum()) + (len(path) > 0 and later is not None and path[-1] != later)
+                later = path[0] if len(path) else later
+            n[0] += later is not None
+        else:
+            begins, ends, path, at = spans(model, data, offs, penalty)
+            owner = np.repeat(np.arange(hi - lo), np.diff(at))
+            np.add.at(weight, (owner, path), ends - begins)
+            change = np.ones(len(path), bool)
+            change[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
+            n = np.bincount(owner[change], minlength=hi - lo)
+        best, total = weight.argmax(axis=1), weight.sum(axis=1)
+        runs += n.tolist()
+        lang += [model.langs[b] if t and model.langs else UNKNOWN for b, t in zip(best.tolist(), total.tolist())]
+        share += (weight.max(axis=1) / np.maximum(total, 1) * (len(model.langs) > 0)).tolist()
+    return [lang[k] for k in back], [share[k] for k in back], [runs[k] for k in back]
+
+
 def _predict(model: Model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, share, runs = [], [], []
-            for lo, hi, data, offs in slices(batch.column(1), 1 << 20):
-                begins, ends, path, at = spans(model, data, offs, penalty)
-                owner = np.repeat(np.arange(hi - lo), np.diff(at))
-                weight = np.zeros((hi - lo, max(1, len(model.langs))))
-                np.add.at(weight, (owner, path), ends - begins)
-                best, total = weight.argmax(axis=1), weight.sum(axis=1)
-                change = np.ones(len(path), bool)
-                change[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
-                runs += np.bincount(owner[change], minlength=hi - lo).tolist()
-                lang += [model.langs[b] if t and model.langs else UNKNOWN for b, t in zip(best.tolist(), total.tolist())]
-                share += (weight.max(axis=1) / np.maximum(total, 1) * (len(model.langs) > 0)).tolist()
+            lang, share, runs = _judge(model, penalty, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(runs, pa.int64())], names=["doc_id", "lang_pred", "score", "n_spans"])
 
     return run
@@ -180,6 +253,18 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, id_col: str =
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def keep_known(docs: DataFrame, model: Model, least_share: float, penalty: float = 8.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language that reaches least_share of its letters; null and empty texts and
+    those without letters go. Each row has its own verdict, whatever its id; all columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, share, _ = _judge(model, penalty, batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least_share for x, s in zip(lang, share)], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def label_spans(model: Model, text: str, penalty: float = 8.0) -> list[tuple[int, int, str]]:
     """(start, end, language) of the spans of a text, in code points, from first to last letter of each."""
     data = np.frombuffer(text.encode(), np.uint8)
