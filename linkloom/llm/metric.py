@@ -4,7 +4,8 @@ Cosine >= c between vectors is distance <= r = sqrt(2 - 2 c) between their unit
 pivots; a vector's home is the cell of its nearest pivot. If x (home i) and y (home j) are within r, the triangle
 inequality gives d(x, p_j) <= d(x, p_i) + 2 r, and the plane between the pivots, which a link between the cells must
 cross, d(x, p_j)^2 - d(x, p_i)^2 <= 2 r d(p_i, p_j). A vector is copied to a later cell only if both hold. So every
-pair meets in the cell of the later home, and cells join independently. Crowded cells are dealt in blocks, so a task
+pair meets in the cell of the later home, and cells join independently. Cells of vectors without any clusters copy
+nearly all; the sample shows that, and few pivots are taken then. Crowded cells are dealt in blocks, so a task
 holds two blocks at most. Equal vectors of a label are one point with a weight. Cells return the number of links of
 each point and a spanning set of its links, never all pairs."""
 
@@ -21,8 +22,8 @@ from . import graphs
 from ._common import arrow_map, cut, ship, shuffle_parts
 
 #: Rows that pivots are chosen from, those with the smallest hashes, and the most pivots: both are fixed bounds.
-#: There are as many pivots as keep the copies of a sampled vector at COPIES on average: more cells copy more.
-SAMPLE, PIVOTS, COPIES, BLOCK = 4096, 64, 4.0, 1024
+#: There are as many pivots, two at least, as make the fewest comparisons over the sample: more cells copy more.
+SAMPLE, PIVOTS, BLOCK = 4096, 256, 4096
 SLACK = 1e-9
 
 
@@ -69,9 +70,14 @@ def choose_pivots(sample: np.ndarray, radius: float) -> np.ndarray:
         if near[k] <= 1e-12:
             break
         chosen.append(k)
-    while len(chosen) > 2 and copies(sample, sample[chosen], radius)[1].sum() > COPIES * len(sample):
+    best, least = chosen, np.inf
+    while len(chosen) > 1:
+        own, near = copies(sample, sample[chosen], radius)
+        cost = float(((np.bincount(own, minlength=len(chosen)) + near.sum(axis=0)).astype(float) ** 2).sum())
+        if cost < least:
+            best, least = chosen, cost
         chosen = chosen[: len(chosen) // 2]
-    return sample[chosen]
+    return sample[best]
 
 
 def _deal(pivots: dict[int, np.ndarray], radius: float):
@@ -138,15 +144,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
 
     Rows link if their labels are equal and not null, their vectors are of one length and their cosine, in double
     precision, is at least `least`. Null or zero vectors and those with null or non-finite components link with
-    nothing, as do rows without an id; such a row is its own component and kept. Repeated rows are linked copies.
-    Further columns are ignored."""
+    nothing, as do rows without an id; such a row is its own component and kept. Repeated rows are linked copies; rows
+    with one id and different vectors have their own links. Further columns are ignored."""
     spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     slim = slim.withColumn("label", F.when(F.col("vec_id").isNotNull(), F.col("label")))
     rows = cut(arrow_map(slim, _points, "vec_id long, label string, key binary, unit array<double>"))
     fine = rows.where("key is not null")
     points = fine.groupBy("label", "key").agg(F.min(F.struct("vec_id", "unit")).alias("p"), F.count("*").alias("weight"))
-    points = cut(points.select("label", "key", F.col("p.vec_id").alias("pid"), F.col("p.unit").alias("unit"), "weight"))
+    points = points.select("label", "key", F.col("p.vec_id").alias("least_id"), F.col("p.unit").alias("unit"), "weight")
+    points = cut(points.withColumn("pid", F.monotonically_increasing_id()))
     sample = points.select("unit", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE).collect()
     radius = float(np.sqrt(2 - 2 * least))
     by_dim: dict[int, list] = {}
@@ -163,8 +170,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     found = cut(dealt.groupBy("label", "cell", "bx", "by").applyInPandas(_join(least), "pid long, links long, to long"))
     counts = found.groupBy("pid").agg(F.sum("links").alias("links"))
     comps = graphs.components(found.select(F.col("pid").alias("u"), F.col("to").alias("v")))
-    points = points.select("label", "key", "pid", "weight").join(counts, "pid", "left").join(comps.withColumnRenamed("node", "pid"), "pid", "left")
-    points = points.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "pid").alias("component_id"))
+    points = points.select("label", "key", "least_id", "pid", "weight").join(counts, "pid", "left").join(comps.withColumnRenamed("node", "pid"), "pid", "left")
+    points = points.select("label", "key", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "pid").alias("root"))
+    points = cut(points)
+    names = points.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    points = points.join(names, "root").select("label", "key", "n_links", "component_id")
     linked = fine.join(points, ["label", "key"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
