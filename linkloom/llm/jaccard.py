@@ -522,14 +522,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows, found = _classes(docs, id_col, text_col, width, percent)
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     judged = rows.where("n > 0").join(found, "key").select("doc_id", "tag", (mine == F.col("top")).alias("stays"))
-    judged = judged.groupBy(F.col("doc_id").alias("id__"), F.col("tag").alias("tag__")).agg(F.max("stays").alias("stays__"), F.count("*").alias("copies__"))
-    judged = cut(judged.where("copies__ > 1 or not stays__"))
-    own = [F.col(id_col).cast("long").alias("own_id__"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("own_tag__")]
-    marked = docs.select("*", *own)
-    same = F.col("own_id__").eqNullSafe(F.col("id__")) & (F.col("own_tag__") == F.col("tag__"))
-    single = marked.join(judged, same, "left_anti").drop("own_id__", "own_tag__")
-    twice = judged.where("stays__")
+    judged = judged.groupBy("doc_id", "tag").agg(F.max("stays").alias("stays"), F.count("*").alias("copies"))
+    judged = cut(judged.where("copies > 1 or not stays"))
+    marked = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("own"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("tag"))
+    single = marked.join(judged, same, "left_anti").select("row.*")
+    twice = judged.where("stays")
     if twice.isEmpty():
         return single
-    several = marked.join(twice, same, "left_semi").dropDuplicates(["own_id__", "own_tag__"])
-    return single.unionByName(several.drop("own_id__", "own_tag__"))
+    return single.unionByName(marked.join(twice, same, "left_semi").dropDuplicates(["id", "own"]).select("row.*"))
