@@ -8,6 +8,7 @@ prefix's encoding (see bpe). Words are then encoded by walking the cells back.""
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ from ._common import arrow_map, slices, texts_of
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MOST_WORDS = 400_000
+#: What an unknown piece is shown as.
+UNKNOWN = " \u2047 "
+codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
 
 
 def common(a: str, b: str) -> int:
@@ -40,6 +44,10 @@ def common(a: str, b: str) -> int:
 class Codec:
     """kind: 'bpe' or 'unigram'. pieces: string -> (id, score). byte_ids: 256 ids, if characters may fall back."""
 
+    #: Ids without a text, and how many of the pieces that a text begins with lose a mark: none, one, all that are one.
+    control: frozenset[int] = frozenset()
+    strips = 1
+
     def __init__(self, kind: str, pieces: dict[str, tuple[int, float]], unk: int, byte_ids: list[int] | None, texts: list[str] | None = None):
         self.kind, self.pieces, self.unk, self.byte_ids = kind, pieces, unk, byte_ids
         self.begins = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
@@ -127,25 +135,46 @@ class Codec:
             if len(self.known) + len(new) > MOST_WORDS:
                 new = set().union(*parted)
             self.learn(new)
-        return [[i for w in ws for i in self.known[w]] for ws in parted]
+        out = [[i for w in ws for i in self.known[w]] for ws in parted]
+        if not self.byte_ids:  # characters without a piece in a row are one unknown piece
+            out = [[i for k, i in enumerate(x) if i != self.unk or not k or x[k - 1] != i] if self.unk in x else x for x in out]
+        return out
 
-    def decode(self, ids: list[int]) -> str:
+    def joined(self, ids: list[int]) -> str:
         """The normalised text: pieces joined, bytes read as UTF-8."""
         if self.byte_of.keys().isdisjoint(ids):
             return "".join(map(self.texts.__getitem__, ids))
-        out, held = [], bytearray()
+        return "".join(self._parts(ids, self.texts.__getitem__))
+
+    def _parts(self, ids: list[int], text_of) -> Iterator[str]:
+        """Texts of ids one by one, stretches of bytes as one; each byte that is no UTF-8 becomes a mark."""
+        held = bytearray()
         for i in ids:
             b = self.byte_of.get(i)
             if b is not None:
                 held.append(b)
                 continue
             if held:
-                out.append(held.decode("utf-8", "replace"))
+                yield held.decode("utf-8", "each_byte")
                 held.clear()
-            out.append(self.texts[i])
+            yield text_of(i)
         if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out)
+            yield held.decode("utf-8", "each_byte")
+
+    def decode(self, ids: list[int]) -> str | None:
+        """The text as the library gives it: nothing for control ids, a mark for the unknown one, and no mark of white
+        space before the text where the model puts one there. None if an id is null or has no piece."""
+        if any(i is None or not 0 <= i < len(self.texts) for i in ids):
+            return None
+        at_begin = self.strips > 0
+        out = []
+        for t in self._parts(ids, lambda i: "" if i in self.control else UNKNOWN if i == self.unk else self.texts[i]):
+            if at_begin and t:
+                bare = t.removeprefix(MARK)
+                at_begin = self.strips > 1 and not bare
+                t = bare
+            out.append(t)
+        return "".join(out).replace(MARK, " ")
 
 
 @lru_cache(4)
@@ -158,7 +187,13 @@ def load(path: str) -> tuple[sentencepiece.SentencePieceProcessor, Codec]:
     # a BPE model's scores are its merges' ranks, negated
     scores = [sp.get_score(i) for i in range(n) if texts[i] in pieces]
     kind = "bpe" if all(float(s).is_integer() and s <= 0 for s in scores) else "unigram"
-    return sp, Codec(kind, pieces, sp.unk_id(), sorted(byte_ids, key=lambda i: int(texts[i][3:-1], 16)) if len(byte_ids) == 256 else None, texts)
+    codec = Codec(kind, pieces, sp.unk_id(), sorted(byte_ids, key=lambda i: int(texts[i][3:-1], 16)) if len(byte_ids) == 256 else None, texts)
+    codec.control = frozenset(i for i in range(n) if sp.is_control(i))
+    begins = [i for t, (i, _) in pieces.items() if t[0] == MARK and t.strip(MARK)][:1]
+    codec.strips = int(not begins or sp.decode(begins)[:1] != " ")
+    if codec.strips and begins and MARK in pieces:
+        codec.strips += sp.decode([pieces[MARK][0], *begins])[:1] != " "
+    return sp, codec
 
 
 def _encode(path: str, with_ids: bool):
@@ -169,7 +204,7 @@ def _encode(path: str, with_ids: bool):
                 part = batch.slice(lo, hi - lo)
                 normal = [sp.normalize(t) for t in part.column(1).to_pylist()]
                 ids = codec.encode(normal)
-                cols = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.array(x, np.uint32).tobytes()) for x in ids], pa.int64()), pa.array([codec.decode(x) == t for x, t in zip(ids, normal)], pa.bool_())]
+                cols = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.array(x, np.uint32).tobytes()) for x in ids], pa.int64()), pa.array([codec.joined(x) == t for x, t in zip(ids, normal)], pa.bool_())]
                 names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"]
                 if with_ids:
                     cols, names = [*cols, pa.array(ids, pa.list_(pa.int64()))], [*names, "ids"]
@@ -189,13 +224,15 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "do
 
 
 def decode(ids: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """ids with a column text_col: the text of the pieces of ids_col, null for null."""
+    """ids with a column text_col: the text that the library gives for the pieces of ids_col, so that control ids give
+    nothing and the unknown one its mark. Null for a null row and for one with a null id or an id out of range; an
+    empty row is an empty text. Repeated rows are rows like others, other columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, codec = load(path)
         for batch in batches:
             k = batch.schema.get_field_index(ids_col)
-            text = [None if x is None else codec.decode(x).replace(MARK, " ").removeprefix(" ") for x in batch.column(k).to_pylist()]
+            text = [None if x is None else codec.decode(x) for x in batch.column(k).to_pylist()]
             yield batch.append_column(text_col, pa.array(text, pa.string()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
