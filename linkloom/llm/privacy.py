@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 _LOCAL = "A-Za-z0-9._%+-"
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: For each kind: its pattern, and a plain string or pattern that a text with a match has. Possessive repeats give the
@@ -24,7 +26,7 @@ KINDS = {
 ORDER = [*KINDS, "term"]
 TOKEN, GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 STRETCH, PARTS = 128, 64
-SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+SPAN, TERM = "array<struct<start:bigint,end:bigint,value:string>>", "array<struct<start:bigint,end:bigint,share:double>>"
 
 
 def _bind(value: Column, body) -> Column:
@@ -87,15 +89,20 @@ def tagged(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(ORDER.index(kind)).alias("k"), x["end"].alias("end")))
 
 
-def _found(docs: DataFrame, *cols: str) -> DataFrame:
-    return docs.select(*cols, *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
-
-
 def distinct_texts(slim: DataFrame) -> DataFrame:
     """(doc, text): copies count once, and every count of the corpus is over these."""
     return slim.select(F.md5("text").alias("doc"), "text").groupBy("doc").agg(F.first("text").alias("text"))
 
 
+def _found(slim: DataFrame) -> DataFrame:
+    """(doc, text, email, ip, card, phone) of the different texts with an entity, computed once and cut: all that
+    follows reads these, so that patterns run once over the table."""
+    rows = slim.select(F.md5("text").alias("doc"), "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
+    # a column that isn't deterministic keeps the filter here: pushed below, it would run the patterns once more
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).where(sum((F.size(k) for k in KINDS), F.lit(0)) > 0)
+    return cut(rows.groupBy("doc").agg(F.first(F.struct("text", *KINDS)).alias("r")).select("doc", "r.*"))
+
+
 def _words(text: Column, spans: Column) -> Column:
     """(start, end, value) of the whole words of three characters or more that no entity touches."""
     apart = lambda t: ~F.exists(spans, lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"]))
@@ -124,10 +131,11 @@ def disclosing_terms(texts: DataFrame, contexts: DataFrame, of: DataFrame, total
     return pairs.withColumn("share", pmi / F.log2(F.col("total") / F.col("n_e"))).where(F.col("share") >= share).select("entity", "term", "share")
 
 
-def _marked(texts: DataFrame, least_docs: int, share: float) -> DataFrame:
+def _marked(slim: DataFrame, found: DataFrame, least_docs: int, share: float) -> DataFrame:
     """(doc, term): in each text, all words that reveal an entity which this text holds, wherever they stand."""
-    total = texts.agg(F.count("*").cast("double").alias("total")).scalar()
-    found = _found(texts, "doc", "text").select("doc", "text", F.concat(*KINDS).alias("spans")).where("size(spans) > 0")
+    texts = distinct_texts(slim)
+    total = slim.select(F.md5("text").alias("doc")).distinct().agg(F.count("*").cast("double").alias("total")).scalar()
+    found = found.select("doc", "text", F.concat(*KINDS).alias("spans"))
     held, of = _held(found, least_docs, total)
     with_support = found.join(held.groupBy("doc").agg(F.collect_list("entity").alias("entities")), "doc")
     contexts = with_support.select("doc", "entities", F.explode(F.array_distinct(F.transform(_words(F.col("text"), F.col("spans")), lambda t: _hash(t["value"])))).alias("term"))
@@ -152,10 +160,12 @@ def find(docs: DataFrame, least_docs: int = 3, share: float = 0.7, id_col: str =
     A null text is an empty one and has none. Equal texts have equal results, and count once in the corpus. Null ids
     and repeats are rows like others, further columns are ignored."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked = _marked(distinct_texts(slim), least_docs, share)
-    found = _found(slim.select("doc_id", "text", F.md5("text").alias("doc")), "doc_id", "doc")
-    out = found.join(marked, "doc", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:bigint,end:bigint,share:double>>")))
-    return out.drop("doc").withColumnRenamed("doc_id", id_col)
+    found = _found(slim)
+    # cut, so that Spark deals both sides of the last join itself and can split a text with very many copies
+    spans = cut(found.drop("text").join(_marked(slim, found, least_docs, share), "doc", "left"))
+    out = slim.select("doc_id", F.md5("text").alias("doc")).join(spans, "doc", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select(F.col("doc_id").alias(id_col), *(none(k, SPAN) for k in KINDS), none("term", TERM))
 
 
 def joined(spans: Column) -> Column:
@@ -165,13 +175,16 @@ def joined(spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, least_docs: int = 3, share: float = 0.7, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with entities replaced by their kind, terms that reveal the share `remove` taken out and other
-    marked terms generalised to WORD or NUMBER. Overlapping spans go as one. Ids have to be unique and not null."""
-    found = find(docs, least_docs, share, id_col, text_col)
+    """(doc_id, text) for every row of docs, with entities replaced by their kind, terms that reveal the share `remove`
+    taken out and other marked terms generalised to TERM. Overlapping spans go as one. A null text becomes an empty one;
+    null ids and repeats are rows like others, further columns are ignored."""
+    slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text__"))
+    own = slim.select(F.col("text__").alias("text"))
+    found = _found(own)
+    found = found.join(_marked(own, found, least_docs, share), "doc", "left").withColumn("term", F.coalesce("term", F.array().cast(TERM)))
     mark = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("by")))
     terms = F.transform("term", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["share"] >= remove, "").otherwise("[TERM]").alias("by")))
-    spans = F.array_sort(F.concat(*map(mark, KINDS), terms))
-    both = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(found.select(id_col, spans.alias("s")), id_col)
+    both = found.select("doc", "text", F.array_sort(F.concat(*map(mark, KINDS), terms)).alias("s"))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -180,4 +193,6 @@ def sanitise(docs: DataFrame, least_docs: int = 3, share: float = 0.7, remove: f
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, new).alias("out"))
 
     text = F.aggregate("s", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return both.select(id_col, text.alias(text_col))
+    changed = both.where("size(s) > 0").select("doc", text.alias("new__"))
+    out = slim.withColumn("doc", F.md5("text__")).join(changed, "doc", "left")
+    return out.select(F.col(id_col), F.coalesce("new__", "text__").alias(text_col))
