@@ -102,6 +102,12 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """df, an aggregate by key, dealt otherwise than by key: a join on key then deals both its sides itself, and only
+    then Spark can split a side with a hot key, or send the aggregate to all tasks if it is small."""
+    return df.repartition(F.xxhash64(key))
+
+
 def shuffle_parts(spark: SparkSession, factor: int = 1) -> int:
     return max(1, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 

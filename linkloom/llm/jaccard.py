@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graphs
-from ._common import STEP, U64, WORD, arrow_map, cut, edges_between, mix, powers, shuffle_parts, slices, span_hashes, texts_of
+from ._common import STEP, U64, WORD, arrow_map, cut, dealt_anew, edges_between, mix, powers, shuffle_parts, slices, span_hashes, texts_of
 
 #: Bits of the bitmaps that tiles compare; the least bits of those that pairs are compared by before their arrays.
 BITS = 512
@@ -447,7 +447,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     final = sets.select("id", "key").join(roots, "id").select("key", F.col("root").cast("string").alias("root")).distinct()
     final = classes.select("key", "rep").join(final, "key", "left").withColumn("root", F.coalesce("root", F.hex("key")))
     low = final.groupBy("root").agg(F.min("rep").alias("top"))
-    return rows, final.join(low, "root").select("key", "rep", "top")
+    return rows, final.join(dealt_anew(low, "root"), "root").select("key", "rep", "top")
 
 
 def _components(sets: DataFrame, total: int, percent: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graphs
-from ._common import arrow_map, cut, ship, shuffle_parts
+from ._common import arrow_map, cut, dealt_anew, ship, shuffle_parts
 
 #: Rows that pivots are chosen from, those with the smallest hashes, and the most pivots: both are fixed bounds.
 #: There are as many pivots, two at least, as make the fewest comparisons over the sample: more cells copy more.
@@ -174,7 +174,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     points = points.select("label", "key", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "pid").alias("root"))
     points = cut(points)
     names = points.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    points = points.join(names, "root").select("label", "key", "n_links", "component_id")
+    points = points.join(dealt_anew(names, "root"), "root").select("label", "key", "n_links", "component_id")
     linked = fine.join(points, ["label", "key"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
