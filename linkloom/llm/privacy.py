@@ -98,8 +98,9 @@ def _found(slim: DataFrame) -> DataFrame:
     """(doc, text, email, ip, card, phone) of the different texts with an entity, computed once and cut: all that
     follows reads these, so that patterns run once over the table."""
     rows = slim.select(F.md5("text").alias("doc"), "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
-    # a column that isn't deterministic keeps the filter here: pushed below, it would run the patterns once more
-    rows = rows.withColumn("at", F.monotonically_increasing_id()).where(sum((F.size(k) for k in KINDS), F.lit(0)) > 0)
+    # a column that isn't deterministic, and is used, keeps the filter here: pushed below, it would run the patterns anew
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    rows = rows.where((sum((F.size(k) for k in KINDS), F.lit(0)) > 0) & (F.col("at") >= 0))
     return cut(rows.groupBy("doc").agg(F.first(F.struct("text", *KINDS)).alias("r")).select("doc", "r.*"))
 
 

@@ -148,7 +148,7 @@ def clean(docs: DataFrame, min_docs: int = 20, depleted: float = 0.8, text_col:
     whatever its id. All other columns stay as they are; a null text has no words and goes."""
     rows = _rows(docs, text_col, host_col)
     base = base_rules(rows, "row", "host", F.md5("text").alias("doc")).select("row", "host", "doc", "n_words", "base_failed")
-    # a column that isn't deterministic keeps the filter here: pushed below, it would compute the rules once more
-    base = base.withColumn("at", F.monotonically_increasing_id()).where(~F.col("base_failed"))
+    # a column that isn't deterministic, and is used, keeps the filter here: pushed below, it would compute the rules anew
+    base = base.withColumn("at", F.monotonically_increasing_id()).where(~F.col("base_failed") & (F.col("at") >= 0))
     kept = _verdict(base.join(_gone(rows, min_docs), ["host", "doc"], "left"), depleted).where("kept")
     return _without(kept, text_col)
