@@ -600,6 +600,7 @@ def test_secrets_at_any_size_and_depth(monkeypatch):
     noise = "".join(r.choice("abcdefgh;") for _ in range(300_000)).encode()
     monkeypatch.setattr(secrets, "WINDOW", 1 << 17)
     monkeypatch.setattr(secrets, "AGAIN", 1 << 10)
+    monkeypatch.setattr(secrets, "STEP", 1 << 9)
     inner = base64.b64encode(gzip.compress(noise + b";" + secret + b";")).replace(b"=", b"")
     for data in (noise + secret, secret + noise, noise + b";" + inner + b";" + noise, noise + b"\0\xff" + gzip.compress(noise + secret), (noise + secret).decode().encode("utf-16")):
         for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress, lambda x: gzip.compress(lzma.compress(x))):
