@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import binascii
 import bz2
-import codecs
 import hashlib
 import lzma
 import re
@@ -41,14 +40,14 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++")
 BREAK, PAD = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"), re.compile("={0,2}")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
-#: Bytes of unpacked data that are scanned at once, and bytes before a window that are scanned again with it.
+#: Bytes of unpacked data that are scanned at once, and bytes of a longer stream that tell whether packed data begin.
 WINDOW, AGAIN = 1 << 25, 1 << 16
 #: Packed bytes that an unpacker gets at once.
 STEP = 1 << 16
-#: What packed data begin with; the longer of these marks; what neither a pattern nor an encoded piece holds.
+#: What packed data begin with; what neither a pattern nor an encoded piece holds.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
-MARKED = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 APART = re.compile(r"[^A-Za-z0-9+/_=\-\s%&#;:.\\\"']")
+_IS_APART = np.array([APART.match(chr(c)) is not None for c in range(128)] + [True])
 WIDE_LE, WIDE_BE = re.compile(rb"(?:[\x20-\x7e]\0){6,}"), re.compile(rb"(?:\0[\x20-\x7e]){6,}")
 #: A run of ASCII as long as the shortest secret: less of it in other bytes is chance.
 PLAIN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
@@ -161,50 +160,91 @@ def _as_text(data: bytes) -> tuple[str, np.ndarray] | None:
     return text, skip + np.concatenate(([0], np.cumsum(size)))
 
 
-def _windows(chunks: Iterator[bytes], packed: list[int]) -> Iterator[str]:
-    """A stream as texts, and in packed the places where it may hold packed data. A window ends where no encoded piece
-    can pass, and goes on until there is such a place; the next begins a little before."""
-    decoder, text, size, limit, tail = None, [], 0, WINDOW, b""
-    done = 0
-    for x in chunks:
-        if decoder is None:
-            decoder = codecs.getincrementaldecoder(_wide(x) or "utf-8")("replace")
-            packed += [0] * (_unpacker(x) is not None)
-        packed += [done - len(tail) + m.start() for m in MARKED.finditer(tail + x) if done - len(tail) + m.start() > 0 and m.end() > len(tail)]
-        done, tail = done + len(x), (tail + x)[-16:]
-        text.append(decoder.decode(x))
-        size += len(text[-1])
-        if size < limit:
-            continue
-        text = ["".join(text)]
-        end = max((m.end() for m in APART.finditer(text[0], max(AGAIN, size - AGAIN))), default=0)
-        limit = WINDOW if end else 2 * size
-        if end:
-            yield text[0][:end]
-            text = [text[0][end - AGAIN :]]
-            size = len(text[0])
-    if decoder is not None:
-        yield "".join(text) + decoder.decode(b"", True)
-
-
-def _from(data: bytes, start: int, at: list[int]) -> Iterator[bytes]:
-    """data from start in pieces, as an unpacker copies what it has not yet used; at: how far it came."""
+class _Reading:
+    """A stream as texts, read as units of 1 byte, or of 2 in one order. What is not ASCII becomes a mark, as no pattern
+    and no encoded piece holds it. A window ends behind a character that no pattern and no encoded piece holds, and goes
+    on until there is one: so the windows show what the whole would."""
+
+    def __init__(self, unit: str, run: re.Pattern[bytes]):
+        self.unit, self.run = np.dtype(unit), run
+        self.held: list[bytes] = []
+        self.size, self.limit = 0, WINDOW
+
+    def texts(self, x: bytes, last: bool = False) -> Iterator[str]:
+        self.held.append(x)
+        self.size += len(x)
+        if self.size < self.limit and not last:
+            return
+        data, wide = b"".join(self.held), self.unit.itemsize
+        end = len(data) // wide
+        if not last:
+            apart = _IS_APART[np.minimum(np.frombuffer(data, self.unit, end), 128)]
+            end -= int(apart[::-1].argmax()) if apart.any() else end
+        self.held = [data[end * wide :]]
+        self.size = len(self.held[0])
+        self.limit = max(WINDOW, 2 * self.size)
+        if any(m.start() % wide == 0 for m in self.run.finditer(data, 0, end * wide)):
+            units = np.frombuffer(data, self.unit, end)
+            yield np.where(units < 128, units, 0xFFFD).astype("<u2").tobytes().decode("utf-16-le")
+
+
+def _readings(chunks: Iterator[bytes]) -> Iterator[str]:
+    readings = _Reading("u1", PLAIN), _Reading("<u2", WIDE_LE), _Reading(">u2", WIDE_BE)
+    for x in chain(chunks, [None]):
+        for r in readings:
+            yield from r.texts(x or b"", x is None)
+
+
+def _places(chunks: Iterator[bytes], found: list[tuple[int, tuple[bytes, int] | None]]) -> Iterator[bytes]:
+    """chunks; found gets each place that packed data may begin at, and what they are and where they end (0: nobody
+    knows), if a few bytes from there tell. Places that give nothing are left out."""
+    buf, base, begin, kept = b"", 0, 0, 0  # base: the place of buf in the stream; begin: up to where buf was searched
+    for x in chain(chunks, [None]):
+        buf += x or b""
+        until = len(buf) if x is None else len(buf) - AGAIN
+        for m in PACKED.finditer(buf, begin):
+            if m.start() >= until:
+                break
+            begin = m.end()
+            ran_out, at, after, out, size = [], [0], [], [], 0
+            for y in _unpacked(_from(buf[m.start() : m.start() + AGAIN], 0, at, ran_out), after):
+                out.append(y)
+                size += len(y)
+                if size > AGAIN or kept + size > WINDOW:
+                    break
+            if size > AGAIN or kept + size > WINDOW or ran_out and not (x is None and m.start() + AGAIN >= len(buf)):
+                found.append((base + m.start(), None))
+            elif size:
+                kept += size
+                found.append((base + m.start(), (b"".join(out), base + m.start() + at[0] - after[0] if after else 0)))
+        if x is not None:
+            yield x
+            begin = max(begin, until)
+            buf, base, begin = buf[begin:], base + begin, 0
+
+
+def _from(data: bytes, start: int, at: list[int], ran_out: list[bool] | None = None) -> Iterator[bytes]:
+    """data from start in pieces, as an unpacker copies what it has not yet used; at: how far it came; ran_out: gets a
+    word if it wanted more."""
     at[0] = start
     while at[0] < len(data):
-        at[0] += STEP
-        yield data[at[0] - STEP : at[0]]
+        start, at[0] = at[0], min(at[0] + STEP, len(data))
+        yield data[start : at[0]]
+    if ran_out is not None:
+        ran_out.append(True)
 
 
 def _stream(data: bytes, path: tuple[int, ...], at: list[int], after: list[int]) -> Iterator[bytes]:
-    """What lies at the first place of path in data, unpacked, then what lies at the next in that, and so on."""
-    chunks = _unpacked(_from(data, path[0], at), after)
-    for skip in path[1:]:
-        chunks = _unpacked(_after(chunks, skip))
-    return chunks
+    """What lies at the first place of path in data, unpacked, then what lies at the next in that, and so on. at: how
+    far the last source was read, after: bytes of it behind the packed data, if no fault came."""
+    if len(path) == 1:
+        return _unpacked(_from(data, path[0], at), after)
+    return _unpacked(_after(_stream(data, path[:-1], [0], []), path[-1], at), after)
 
 
-def _after(chunks: Iterator[bytes], skip: int) -> Iterator[bytes]:
+def _after(chunks: Iterator[bytes], skip: int, at: list[int]) -> Iterator[bytes]:
     for x in chunks:
+        at[0] += len(x)
         if skip < len(x):
             yield x[skip:]
         skip = max(0, skip - len(x))
@@ -213,41 +253,48 @@ def _after(chunks: Iterator[bytes], skip: int) -> Iterator[bytes]:
 def _texts(data: bytes) -> Iterator[tuple[str, int, np.ndarray | None]]:
     """The texts in data: as they are, with their characters' places, or packed, to any depth, without places; with the
     byte they begin at. What unpacks to less than a window is held; the rest is unpacked again from its source for each
-    thing found in it."""
+    thing of size found in it. Both ways give the same."""
     if (found := _as_text(data)) is not None:
         yield found[0], 0, found[1]
-    if data.isascii():
-        return
     seen: set[bytes] = set()
     number = count()
-    done = [0]  # up to where this root was unpacked
-    work = [(k, next(number), data, (k,), done) for k in (m.start() for m in PACKED.finditer(data))]
+    done = [0]  # up to where this source was unpacked
+    work = [(k, next(number), data, (k,), done, None) for k in (m.start() for m in PACKED.finditer(data))]
     while work:  # by where they begin: what lies in packed data is met there first
-        first, _, root, path, done = heappop(work)
-        if path[0] < done[0]:
+        first, _, root, path, done, known = heappop(work)
+        if path[-1] < done[0]:
             continue
-        at, after = [0], []
-        stream = _stream(root, path, at, after)
-        inner, whole = _held(stream)
+        at, after, stream, whole = [0], [], iter(()), True
+        if known is None:
+            stream = _stream(root, path, at, after)
+            inner, whole = _held(stream)
+        else:
+            inner, done[0] = known[0], max(done[0], known[1])
+        more: list[tuple[int, tuple[bytes, int] | None]] = []
+        mark = hashlib.blake2b(inner, digest_size=16)
+        if not whole:
+            for text in _readings(_places(chain([inner], _hashed(stream, mark)), more)):
+                yield text, first, None
         if inner and after:
-            done[0] = min(at[0], len(root)) - after[0]
-        mark = hashlib.blake2b(inner, digest_size=16).digest()
-        if not inner or mark in seen:
+            done[0] = at[0] - after[0]
+        if not inner or mark.digest() in seen:
             continue
-        seen.add(mark)
+        seen.add(mark.digest())
+        below = [0]
         if not whole:
-            more: list[int] = []
-            for window in _windows(chain([inner], stream), more):
-                yield window, first, None
-            for k in more:
-                heappush(work, (first, next(number), root, (*path, k), [0]))
+            for k, part in more:
+                heappush(work, (first, next(number), root, (*path, k), below, part))
             continue
-        if (found := _as_text(inner)) is not None:
-            yield found[0], first, None
-        if not inner.isascii():
-            done = [0]
-            for m in PACKED.finditer(inner):
-                heappush(work, (first, next(number), inner, (m.start(),), done))
+        for text in _readings(iter([inner])):
+            yield text, first, None
+        for m in PACKED.finditer(inner):
+            heappush(work, (first, next(number), inner, (m.start(),), below, None))
+
+
+def _hashed(chunks: Iterator[bytes], mark) -> Iterator[bytes]:
+    for x in chunks:
+        mark.update(x)
+        yield x
 
 
 def _escape(s: str) -> str:

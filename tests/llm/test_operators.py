@@ -608,6 +608,34 @@ def test_secrets_at_any_size_and_depth(monkeypatch):
             assert (0, len(code), "decoded_assign") in secrets.find(code)[1]
 
 
+def test_secrets_do_not_depend_on_the_window(monkeypatch):
+    """Small windows make every case a long stream: it shows what the same data show when they are held."""
+    r = random.Random(8)
+    noise = lambda n=100_000: r.randbytes(n)
+    secret, long = b" password=hunter2hunter2 ", b"AKIA" + b"Q" * 30
+    words = "".join(r.choice("abcdefgh ;") for _ in range(100_000)).encode()
+    same = noise(1 << 17)
+    cases = [
+        noise() + zlib.compress(secret) + noise(),  # a bare zlib stream amid a long one
+        noise() + zlib.compress(noise(5000) + secret) + zlib.compress(words + long) + noise(),
+        noise() + zlib.compress(noise() + bz2.compress(words + secret)) + noise(),
+        words + (words + secret).decode().encode("utf-16-le"),  # two ways to read one stream
+        (words.decode() + secret.decode()).encode("utf-16-be") + words + long,
+        zlib.compress(same) + zlib.compress(same + secret),  # the same first window
+        noise(1000) + zlib.compress(same) + b"\0" + zlib.compress(same + zlib.compress(secret)),
+        words + b"token:" * 20_000 + b"abcdef " + words,  # a window that begins anew shows what the whole does not
+        words + b"token=" + b"x" * 70_000 + b";" + words,
+        words + secret,
+    ]
+    texts = [base64.b64encode(pack(x)).decode() for x in cases for pack in (zlib.compress, bz2.compress)]
+    held = [secrets.find(x) for x in texts]
+    assert sum(bool(deep) for _, deep in held) == len(texts) - 2
+    for window, again in ((1 << 16, 1 << 10), (1 << 14, 1 << 12)):
+        monkeypatch.setattr(secrets, "WINDOW", window)
+        monkeypatch.setattr(secrets, "AGAIN", again)
+        assert [secrets.find(x) for x in texts] == held
+
+
 @pytest.mark.parametrize("sign", ["\u00a0", "\u3000", "\ufeff", "\u200b", "\u00ad", "\u202f", "\f", "\0", "\x1b"])
 def test_secrets_beside_any_character(sign):
     inner = f"{sign}note{sign} password=hunter2hunter2"
