@@ -124,6 +124,16 @@ def test_classifier(spark):
     assert gains[0].feature == "good" and [g.gain for g in gains] == sorted((g.gain for g in gains), reverse=True)
 
 
+def test_jobs_of_training(spark):
+    rows = [(f"S1-{k // 4}", f"S2-{k}", float(k % 7 > 3) + (k % 11) / 40, float(k % 5), int(k % 7 > 3)) for k in range(1600)]
+    matrix = spark.createDataFrame(rows, "s1_id string, candidate_id string, good double, noise double, label int")
+    spark.sparkContext.setJobGroup("training", "")
+    fitted, _ = model.train(matrix, rounds=12)
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(fitted.stages[-1].trees) == 12
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("training")) < 12  # rounds take no jobs
+
+
 def test_order_of_sweep(spark, small):
     s1, cd, pairs = small
     probs = scoring.score_pairs(pairs.select("s1_id", "candidate_id"), s1, cd).withColumnRenamed("score", "prob")
