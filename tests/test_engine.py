@@ -134,6 +134,14 @@ def test_jobs_of_training(spark):
     assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("training")) < 12  # rounds take no jobs
 
 
+def test_trees_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(f"S1-{k // 4}", f"S2-{k}", (k * 37 % 101) / 100, float(k % 5), int(k * 37 % 101 + k % 5 * 8 > 70)) for k in range(1200)]
+    names = "s1_id string, candidate_id string, good double, noise double, label int"
+    a, b = (model.predict(*model.train(spark.createDataFrame(x, names).repartition(n), rounds=5)).collect() for x, n in ((rows, 1), (rows[::-1], 3)))
+    of = lambda xs: {(r.s1_id, r.candidate_id): r.prob for r in xs}
+    assert of(a) == pytest.approx(of(b), abs=1e-9) and len(set(of(a).values())) > 2
+
+
 def test_order_of_sweep(spark, small):
     s1, cd, pairs = small
     probs = scoring.score_pairs(pairs.select("s1_id", "candidate_id"), s1, cd).withColumnRenamed("score", "prob")
