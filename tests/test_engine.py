@@ -4,12 +4,16 @@ import os
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from linkloom.functions import gestalt, text
-from linkloom.operators import blocking, evaluation, model, scoring, splitting, validation
-from linkloom.plans import fixtures, presets
+from linkloom.operators import blocking, boosting, evaluation, model, scoring, splitting, validation
+from linkloom.plans import fixtures, presets, queries
 from linkloom.sources import readers, writers
 
 SF = "/root/testdata/sf0.001"
@@ -142,6 +146,45 @@ def test_trees_do_not_depend_on_the_order_of_rows(spark):
     assert of(a) == pytest.approx(of(b), abs=1e-9) and len(set(of(a).values())) > 2
 
 
+def test_calls_of_making_a_model(spark):
+    rows = [(f"S1-{k // 4}", f"S2-{k}", (k * 37 % 101) / 100, float(k % 5), int(k * 37 % 101 + k % 5 * 8 > 70)) for k in range(1200)]
+    matrix = spark.createDataFrame(rows, "s1_id string, candidate_id string, good double, noise double, label int")
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(client, "send_command", lambda *a, f=client.send_command, **b: (calls.append(a[0]), f(*a, **b))[1])
+        counts = []
+        for rounds in (2, 12):
+            began = len(calls)
+            trees = model.train(matrix, rounds=rounds)[0].stages[-1]
+            counts.append((len(calls) - began, trees.totalNumNodes))
+    (a, m), (b, n) = counts
+    assert n - m > 100 and b - a < 6 * (n - m)  # each call into the JVM takes time, and a model has many nodes
+    held = model.predict(PipelineModel(stages=[VectorAssembler(inputCols=["good", "noise"], outputCol="x"), trees]), matrix)
+    assert evaluation.roc_auc(held).first()[0] > 0.99 and trees.trees[0].depth > 1
+
+
+def test_counted_children_add_up():
+    """A histogram of a node is that of one child and what is left of it."""
+    rng = np.random.default_rng(5)
+    codes, label, n = rng.integers(0, 9, (3, 5000)).astype(np.uint8), rng.integers(0, 2, 5000).astype(np.uint8), 5000
+    data = b"".join(x.tobytes() for x in (codes, label, np.zeros(n, np.uint8), np.arange(n)))
+    rows = boosting._Rows(iter([pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([data], pa.binary())], names=["n", "data"])]), [9, 9, 9])
+    pull, left = rng.normal(size=n), rows.codes[1] < 4
+    parts = [np.arange(n), np.flatnonzero(left), np.flatnonzero(~left)]
+    h = boosting._histograms(rows, parts, pull, [9, 9, 9], 32)
+    for at, mine in enumerate(parts):
+        for k in range(3):
+            for got, weights in zip(h[:, at, k], (None, rows.label[mine].astype(float), pull[mine])):
+                assert got == pytest.approx(np.bincount(rows.codes[k][mine], weights, 32))
+    assert h[:, 0] - h[:, 1] == pytest.approx(h[:, 2])
+
+
+def test_gbt_scores_read_a_matrix_that_is_kept(spark):
+    out = queries.Q["gbt_scores"](spark, SF)
+    assert out.inputFiles() and not any("documents" in f for f in out.inputFiles())  # else it would be computed anew
+    assert out.count() > 0 and out.where("prob < 0 or prob > 1 or prob is null").isEmpty()
+
+
 def test_order_of_sweep(spark, small):
     s1, cd, pairs = small
     probs = scoring.score_pairs(pairs.select("s1_id", "candidate_id"), s1, cd).withColumnRenamed("score", "prob")
