@@ -16,6 +16,80 @@ START = -1
 NEVER = float("inf")
 
 
+class Table:
+    """Keys and values, none below 0, in open-addressed arrays, so that many keys are looked up together.
+
+    A table that is three quarters full grows. Between batches a user drops a large one (see full): what was in it is
+    made anew, so memory stays bounded, results the same."""
+
+    def __init__(self, log_size: int):
+        self.log_size = log_size
+        self.clear()
+
+    def clear(self) -> None:
+        self._size(self.log_size)
+        self.filled = 0
+
+    def _size(self, log: int) -> None:
+        self.log = log
+        self.keys, self.vals = np.full(1 << log, -1, np.int64), np.zeros(1 << log, np.int64)
+
+    def put(self, k: int, v: int) -> None:
+        at = (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.log
+        while self.keys[at] != -1:
+            at = (at + 1) & (len(self.keys) - 1)
+        self.keys[at], self.vals[at] = k, v
+        self.filled += 1
+        if 4 * self.filled > 3 * len(self.keys):
+            self._enlarge()
+
+    def _enlarge(self) -> None:
+        have = self.keys >= 0
+        keys, vals = self.keys[have], self.vals[have]
+        self._size(self.log + 1)
+        while len(keys):  # all that are left try their next place; the first of each place gets it
+            at = self._place(keys)
+            while len(at) and (self.keys[at] != -1).any():
+                at = np.where(self.keys[at] != -1, (at + 1) & (len(self.keys) - 1), at)
+            _, first = np.unique(at, return_index=True)
+            self.keys[at[first]], self.vals[at[first]] = keys[first], vals[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, vals = keys[rest], vals[rest]
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Values of keys, -1 where there is none yet."""
+        at = self._place(key)
+        have = self.keys[at]
+        out = self.vals[at]
+        bad = np.flatnonzero(have != key)
+        while len(bad):
+            gone = have[bad] == -1
+            out[bad[gone]] = -1
+            bad = bad[~gone]
+            at[bad] = (at[bad] + 1) & (len(self.keys) - 1)
+            have[bad] = self.keys[at[bad]]
+            out[bad] = self.vals[at[bad]]
+            bad = bad[have[bad] != key[bad]]
+        return out
+
+    def found(self, key: np.ndarray, make) -> np.ndarray:
+        """Values of keys, those that are missing made one by one."""
+        got = self.find(key)
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            for k in np.unique(key[new]).tolist():
+                self.put(k, make(k))
+            got[new] = self.find(key[new])
+        return got
+
+    def full(self) -> bool:
+        return 2 * self.filled > 1 << self.log_size
+
+
 class Merges:
     """Vocabulary entries as tuples of symbols, and which of them may follow each other."""
 
@@ -25,6 +99,8 @@ class Merges:
         self.symbols = {i: s for s, i in entries.items()}
         self.known: dict[int, bool] = {}
         self.size = max(self.symbols, default=0) + 1
+        self.pairs: Table | None = None
+        self.steps: dict[tuple[int, int], tuple] = {}
 
     def encode(self, ids: list[int]) -> list[int]:
         """Merges a list of single-symbol ids by priority, leftmost first."""
@@ -75,10 +151,52 @@ class Merges:
         if found is None:
             if len(self.known) > 2_000_000:
                 self.known.clear()
-            s = self.symbols[b]
-            found = self.known[key] = self.encode(self.single(s if a == START else self.symbols[a] + s)) == ([b] if a == START else [a, b])
+            found = self.known[key] = self._stay(key)
         return found
 
+    def all_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """follows for arrays of tokens."""
+        if self.pairs is None:
+            self.pairs = Table(18)
+        elif self.pairs.filled > 2_000_000:
+            self.pairs.clear()
+        return self.pairs.found((a + 1) * self.size + b, self._stay) > 0
+
+    def _stay(self, key: int) -> bool:
+        """Merges inside a and inside b come in the order that each has alone, until one across their bound is due."""
+        a, b = key // self.size - 1, key % self.size
+        last, left = self._steps(a, -1) if a != START else (None, [])
+        first, right = self._steps(b, 0)
+        if left is None or right is None or (a, b) in self.rank:
+            return False
+        i = k = 0
+        while i < len(left) or k < len(right):
+            x, y = left[i][0] if i < len(left) else NEVER, right[k][0] if k < len(right) else NEVER
+            across = self.rank.get((last, first))
+            if across and across[0] < x and across[0] <= y:  # of equal ones the leftmost is first
+                return False
+            if x <= y:
+                last = left[i][1]
+                i += 1
+            else:
+                first = right[k][1]
+                k += 1
+        return True
+
+    def _steps(self, token: int, edge: int) -> tuple[int, list[tuple] | None]:
+        """Of a token: the symbol at its edge (0 or -1), and of each merge that makes it the priority and what is at
+        the edge then. None if its symbols make something else."""
+        got = self.steps.get((token, edge))
+        if got is None:
+            ids = self.single(self.symbols[token])
+            at, steps = ids[edge], []
+            while due := [(r[0], i, r[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (r := self.rank.get(pair))]:
+                priority, i, new = min(due)
+                ids[i : i + 2] = [new]
+                steps.append((priority, ids[edge]))
+            got = self.steps[token, edge] = at, steps if ids == [token] else None
+        return got
+
 
 def byte_level(path: str) -> tuple[Merges, dict[str, int]]:
     """Of a tokenizers file with a byte-level BPE model: its merges over bytes, and its added tokens."""
@@ -98,15 +216,12 @@ def byte_level(path: str) -> tuple[Merges, dict[str, int]]:
     return Merges(entries, rank), added
 
 
-class Automaton:
+class Automaton(Table):
     """The transducer of one pre-token: states are made as they are met, each transition carries the change of the
-    token count. Transitions live in an open-addressed table, so that many texts advance together.
-
-    A table that is three quarters full grows. Between texts, or pieces of one, a user drops a large table and its states (see
-    full): they are made anew, so memory stays bounded, results the same."""
+    token count. Transitions live in the table, so that many texts advance together; states are dropped with it."""
 
     def __init__(self, merges: Merges, log_size: int = 21):
-        self.merges, self.log_size = merges, log_size
+        self.merges = merges
         # the trie of vocabulary entries, with links to the longest proper suffix
         self.child: list[dict] = [{}]
         self.token: list[int] = [-1]
@@ -130,7 +245,7 @@ class Automaton:
                     self.fail[c] = self._step(self.fail[node], b)
                     deeper.append(c)
             level = deeper
-        self.clear()
+        super().__init__(log_size)
 
     def _step(self, node: int, b) -> int:
         while b not in self.child[node]:
@@ -140,35 +255,10 @@ class Automaton:
         return self.child[node][b]
 
     def clear(self) -> None:
-        self._size(self.log_size)
-        self.filled = 0
+        super().clear()
         self.states = [(0, ((START, 0),))]
         self.number = {self.states[0]: 0}
 
-    def _size(self, log: int) -> None:
-        self.log = log
-        self.keys, self.vals = np.full(1 << log, -1, np.int64), np.zeros(1 << log, np.int64)
-
-    def _put(self, k: int, v: int) -> None:
-        at = (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.log
-        while self.keys[at] != -1:
-            at = (at + 1) & (len(self.keys) - 1)
-        self.keys[at], self.vals[at] = k, v
-
-    def _enlarge(self) -> None:
-        have = self.keys >= 0
-        keys, vals = self.keys[have], self.vals[have]
-        self._size(self.log + 1)
-        while len(keys):  # all that are left try their next place; the first of each place gets it
-            at = self._place(keys)
-            while len(at) and (self.keys[at] != -1).any():
-                at = np.where(self.keys[at] != -1, (at + 1) & (len(self.keys) - 1), at)
-            _, first = np.unique(at, return_index=True)
-            self.keys[at[first]], self.vals[at[first]] = keys[first], vals[first]
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, vals = keys[rest], vals[rest]
-
     def _chain(self, node: int) -> list[int]:
         out = [node]
         while node:
@@ -198,39 +288,11 @@ class Automaton:
             self.states.append(made)
         return got, change
 
-    def _place(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
-
-    def _find(self, key: np.ndarray) -> np.ndarray:
-        """Packed transitions, -1 where there is none yet."""
-        at = self._place(key)
-        have = self.keys[at]
-        out = self.vals[at]
-        bad = np.flatnonzero(have != key)
-        while len(bad):
-            gone = have[bad] == -1
-            out[bad[gone]] = -1
-            bad = bad[~gone]
-            at[bad] = (at[bad] + 1) & (len(self.keys) - 1)
-            have[bad] = self.keys[at[bad]]
-            out[bad] = self.vals[at[bad]]
-            bad = bad[have[bad] != key[bad]]
-        return out
+    def _transition(self, key: int) -> int:
+        to, change = self.grow(key >> 8, key & 255)
+        return to << 8 | change + 128
 
     def advance(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All lanes read a byte each: next states and changes of the counts. Lanes keep their states' numbers."""
-        key = state << 8 | byte
-        got = self._find(key)
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            for k in np.unique(key[new]).tolist():
-                to, change = self.grow(k >> 8, k & 255)
-                self._put(k, to << 8 | change + 128)
-                self.filled += 1
-                if 4 * self.filled > 3 * len(self.keys):
-                    self._enlarge()
-            got[new] = self._find(key[new])
+        got = self.found(state << 8 | byte, self._transition)
         return got >> 8, (got & 255) - 128
-
-    def full(self) -> bool:
-        return 2 * self.filled > 1 << self.log_size

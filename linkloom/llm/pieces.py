@@ -2,15 +2,19 @@
 
 A normalised text falls into marked words (white space marks, then other characters): no piece reaches across their
 bounds. The distinct words of a batch are sorted, which is the order of a depth-first walk of their trie: the forward
-cells of a prefix are kept on a stack and serve all words that begin with it. For a unigram model a cell holds the
-best sum of scores; for a BPE model, where merges rather than sums decide, it holds the one piece that ends the
-prefix's encoding (see bpe). Words are then encoded by walking the cells back."""
+cells of a prefix serve all words that begin with it. For a unigram model a cell holds the best sum of scores; for a
+BPE model, where merges rather than sums decide, it holds the one piece that ends the prefix's encoding (see bpe).
+Words are then encoded by walking the cells back.
+
+Words of a BPE model that aren't very long go through their trie level by level, all new prefixes of a length at once;
+the others go one by one, with a stack of cells. A word's ids are packed once, and a text's ids are its words' joined."""
 
 from __future__ import annotations
 
 import codecs
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +30,8 @@ from ._common import arrow_map, slices, texts_of
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MOST_WORDS = 400_000
+#: Words that go through their trie level by level at once, and the most characters of one.
+LANES, LEVELS = 1 << 16, 64
 #: What an unknown piece is shown as.
 UNKNOWN = " \u2047 "
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
@@ -66,23 +72,39 @@ class Codec:
                     if p[:k] in entries and p[k:] in entries:
                         rank[entries[p[:k]], entries[p[k:]]] = (-score, i)
             self.merges = bpe.Merges(entries, rank)
-        self.known: dict[str, tuple[int, ...]] = {}
+            self._number_ends()
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(texts or [])]
+        self.size = np.array([len(x) for x in self.raw], np.int64)
+        self.known: dict[str, array] = {}  # ids of words, 32 bits each
+        self.lossy: set[str] = set()  # those of them that decoding doesn't give back
 
     def fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in c.encode()) if self.byte_ids else (self.unk,)
 
     def words(self, normal: str) -> list[str]:
-        return [normal] if self.whole and normal else WORDS.findall(normal)
+        if self.whole and normal:
+            return [normal]
+        if MARK + MARK in normal or "\0" in normal:
+            return WORDS.findall(normal)
+        out = normal.replace(MARK, "\0" + MARK).split("\0")  # quicker where each word has one mark
+        return out if out[0] else out[1:]
 
     def learn(self, words: set[str]) -> None:
-        """Encodes words, in sorted order, with one stack of forward cells."""
+        """Encodes words, in sorted order."""
         if len(self.known) + len(words) > MOST_WORDS:
             self.known.clear()
+            self.lossy.clear()
+        order = sorted(words)
+        if self.kind == "bpe":
+            some = [w for w in order if len(w) <= LEVELS]
+            for lo in range(0, len(some), LANES):
+                self._learn_levels(some[lo : lo + LANES])
+            order = [w for w in order if len(w) > LEVELS]
         # a cell: (length of the last piece, its id or None for a fallback, best score, see ends)
         cells: list[tuple] = [(0, bpe.START, 0.0, "")]
         before = ""
         step = self._next_bpe if self.kind == "bpe" else self._next_unigram
-        for w in sorted(words):
+        for w in order:
             n = common(w, before)
             del cells[n + 1 :]
             for j in range(n + 1, len(w) + 1):
@@ -97,7 +119,87 @@ class Codec:
                     out += self.fallback(w[j - 1])[::-1]
                 j -= size
             out.reverse()
-            self.known[w] = tuple(out)
+            self.known[w] = array("I", out)
+            if self.texts and self.joined(out) != w:
+                self.lossy.add(w)
+
+    def _number_ends(self) -> None:
+        """Numbers what begins a piece, 0 for nothing: top is the longest piece that is an end of it (0: none), below
+        the next one, each by its number; long and last are the length and the id of the piece of a number."""
+        order = ["", *sorted(self.begins, key=len)]
+        self.named, self.number = order, {s: k for k, s in enumerate(order)}
+        self.long, self.last = np.array([len(s) for s in order], np.int64), np.array([self.pieces.get(s, (-1,))[0] for s in order], np.int64)
+        top, below = [0] * len(order), [0] * len(order)
+        for k, s in enumerate(order[1:], 1):
+            below[k] = top[self._longest(s[1:])]
+            top[k] = k if s in self.pieces else below[k]
+        self.top, self.below = np.array(top), np.array(below)
+        self.moves = bpe.Table(16)
+
+    def _longest(self, s: str) -> int:
+        """The longest end of s that begins a piece."""
+        while s not in self.number:
+            s = s[1:]
+        return self.number[s]
+
+    def _move(self, key: int) -> int:
+        return self._longest(self.named[key >> 21] + chr(key & 0x1FFFFF))
+
+    def _learn_levels(self, words: list[str]) -> None:
+        """learn of sorted words. Column i of a level is the cell of word i's prefix of that length; the first word with
+        a prefix makes its cell, the words that share it take it."""
+        if self.moves.filled > 1_000_000:
+            self.moves.clear()
+        n, size = len(words), np.array([len(w) for w in words], np.int64)
+        most = int(size.max())
+        chars = np.full((most, n), -1, np.int32)
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        chars[np.arange(len(flat)) - np.repeat(begin, size), np.repeat(np.arange(n), size)] = flat
+        piece, step = np.full((most + 1, n), bpe.START, np.int32), np.zeros((most + 1, n), np.int8)
+        end, fresh = np.zeros(n, np.int64), np.zeros(n, bool)
+        fresh[0] = True
+        for j in range(1, most + 1):
+            fresh[1:] |= chars[j - 1, 1:] != chars[j - 1, :-1]
+            new = np.flatnonzero(fresh & (size >= j))
+            to = self.moves.found(end[new] << 21 | chars[j - 1, new], self._move)
+            found, back = np.full(len(new), bpe.START, np.int32), np.ones(len(new), np.int8)
+            left, at = np.arange(len(new)), self.top[to]
+            while len(left := left[(some := at > 0)]):  # from the longest piece on, until one may follow
+                at = at[some]
+                before = piece[j - self.long[at], new[left]].astype(np.int64)
+                fits = self.merges.all_follow(before, self.last[at])
+                found[left[fits]], back[left[fits]] = self.last[at[fits]], self.long[at[fits]]
+                left, at = left[~fits], self.below[at[~fits]]
+            share = np.cumsum(np.bincount(new, minlength=n)) - 1
+            piece[j], step[j], end = found[share], back[share], to[share]
+        # back from the words' ends
+        lane, at, ends, ids, code = np.arange(n), size.copy(), [], [], []
+        while len(lane := lane[at[lane] > 0]):
+            k = at[lane]
+            ends.append(begin[lane] + k)
+            ids.append(piece[k, lane])
+            code.append(chars[k - 1, lane])
+            at[lane] -= step[k, lane]
+        ends, ids, code = map(np.concatenate, (ends, ids, code))
+        order = np.argsort(ends)
+        ends, ids, code = ends[order], ids[order], code[order]
+        owner, bare = np.searchsorted(begin, ends) - 1, ids < 0
+        if bare.any():
+            code = code[bare].tolist()
+            made = {c: self.fallback(chr(c)) for c in set(code)}
+            filled = [made[c] for c in code]
+            width = np.ones(len(ids), np.int64)
+            width[bare] = [len(x) for x in filled]
+            ids, owner, bare = np.repeat(ids, width), np.repeat(owner, width), np.repeat(bare, width)
+            ids[bare] = [i for x in filled for i in x]
+        bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        packed = array("I", ids.astype(np.uint32).tobytes())
+        self.known.update((w, packed[a:b]) for w, a, b in zip(words, bounds, bounds[1:]))
+        if self.texts:  # decoded together; ids that give back a word's bytes give back the word
+            place = np.append(0, np.cumsum(self.size[packed]))[bounds]
+            if not np.array_equal(place, np.append(0, np.cumsum(np.add.reduceat(1 + (flat >= 0x80) + (flat >= 0x800) + (flat >= 0x10000), begin)))) or b"".join(map(self.raw.__getitem__, packed)) != "".join(words).encode():
+                self.lossy.update(w for w in words if self.joined(self.known[w]) != w)
 
     def ends(self, tail: str) -> tuple[str, list[tuple[int, int]]]:
         """Of a prefix that ends with tail: its longest end that begins a piece, and (size, id) of the pieces that are
@@ -128,17 +230,27 @@ class Codec:
                 best = (size, piece, score, end)
         return best
 
-    def encode(self, normal: list[str]) -> list[list[int]]:
-        """Ids of normalised texts."""
+    def packed(self, normal: list[str]) -> Iterator[tuple[bytes, bool]]:
+        """Of normalised texts: ids, 32 bits each, and whether decoding is known to give the text back."""
         parted = [self.words(t) for t in normal]
-        if new := set().union(*parted).difference(self.known):
+        held = [[*map(self.known.get, ws)] for ws in parted]
+        if new := {w for ws, hs in zip(parted, held) for w, h in zip(ws, hs) if h is None}:
             if len(self.known) + len(new) > MOST_WORDS:
                 new = set().union(*parted)
             self.learn(new)
-        out = [[i for w in ws for i in self.known[w]] for ws in parted]
-        if not self.byte_ids:  # characters without a piece in a row are one unknown piece
-            out = [[i for k, i in enumerate(x) if i != self.unk or not k or x[k - 1] != i] if self.unk in x else x for x in out]
-        return out
+            held = [[self.known[w] if h is None else h for w, h in zip(ws, hs)] for ws, hs in zip(parted, held)]
+        for ws, hs in zip(parted, held):
+            out, same = b"".join(hs), self.lossy.isdisjoint(ws)
+            if not self.byte_ids:  # characters without a piece in a row are one unknown piece
+                ids = np.frombuffer(out, np.uint32)
+                unk = ids == self.unk
+                if unk.any():
+                    out, same = ids[~(unk & np.append(False, unk[:-1]))].tobytes(), False
+            yield out, same
+
+    def encode(self, normal: list[str]) -> list[list[int]]:
+        """Ids of normalised texts."""
+        return [array("I", x).tolist() for x, _ in self.packed(normal)]
 
     def joined(self, ids: list[int]) -> str:
         """The normalised text: pieces joined, bytes read as UTF-8."""
@@ -203,11 +315,12 @@ def _encode(path: str, with_ids: bool):
             for lo, hi, _, _ in slices(batch.column(1), 1 << 22):
                 part = batch.slice(lo, hi - lo)
                 normal = [sp.normalize(t) for t in part.column(1).to_pylist()]
-                ids = codec.encode(normal)
-                cols = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.array(x, np.uint32).tobytes()) for x in ids], pa.int64()), pa.array([codec.joined(x) == t for x, t in zip(ids, normal)], pa.bool_())]
+                ids, same = zip(*codec.packed(normal))
+                same = [s or codec.joined(array("I", x)) == t for x, s, t in zip(ids, same, normal)]
+                cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(same, pa.bool_())]
                 names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"]
                 if with_ids:
-                    cols, names = [*cols, pa.array(ids, pa.list_(pa.int64()))], [*names, "ids"]
+                    cols, names = [*cols, pa.array([array("I", x).tolist() for x in ids], pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run

@@ -210,6 +210,48 @@ def test_sentencepiece(spark, docs, odd):
     assert all(got[k] == sp.decode(x) for k, x in enumerate(some)) and all(got[k] is None for k in (-1, -2, -3, -4))
 
 
+def test_words_by_levels(monkeypatch):
+    """All words that aren't long go through their trie together, never by a step for each character."""
+    sp, codec = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = fuzz(["a", "the", " ", "  ", "\n", "é", "漢", "😀", "▁", "ing", "1", "\0", "ſ", "\ufffd", "er", "q" * 70], 300, 40) + ["", "▁", "x" * 64, "x" * 65, "in" * 5000]
+    normal, expected = [sp.normalize(t) for t in texts], [sp.encode(t) for t in texts]
+    assert all(codec.words(t) == pieces.WORDS.findall(t) for t in normal)
+    for lanes, levels, most in ((1 << 16, 64, 400_000), (1, 64, 400_000), (7, 3, 50), (100, 0, 400_000)):
+        monkeypatch.setattr(pieces, "LANES", lanes)
+        monkeypatch.setattr(pieces, "LEVELS", levels)
+        monkeypatch.setattr(pieces, "MOST_WORDS", most)
+        codec.known.clear()
+        assert [i for lo in range(0, len(normal), 50) for i in codec.encode(normal[lo : lo + 50])] == expected
+        assert not codec.lossy
+    monkeypatch.setattr(pieces, "LEVELS", 64)
+    monkeypatch.setattr(pieces.Codec, "_next_bpe", None)
+    codec.known.clear()
+    short = [t for t in normal if all(len(w) <= 64 for w in codec.words(t))]
+    assert codec.encode(short) == [e for t, e in zip(normal, expected) if t in set(short)]
+
+
+def test_lossy_words(monkeypatch):
+    """Words that decoding doesn't give back: here those with a character that has no piece and no bytes."""
+    vocab = {"a": (1, -3.0), "b": (2, -4.0), "ab": (3, -1.0), "▁": (4, -5.0), "▁ab": (5, -2.0)}
+    codec = pieces.Codec("bpe", vocab, 0, None, ["<unk>", "a", "b", "ab", "▁", "▁ab"])
+    got = list(codec.packed(["▁abab▁b", "▁aéé▁ab", "", "▁ab"]))
+    assert [np.frombuffer(x, np.uint32).tolist() for x, _ in got] == [[5, 3, 4, 2], [4, 1, 0, 5], [], [5]]
+    assert [same for _, same in got] == [True, False, True, True] and codec.lossy == {"▁aéé"}
+
+
+def test_tokens_that_follow_each_other():
+    merges, _ = bpe.byte_level(BPE)
+    _, codec = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    tied = bpe.Merges({"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4, "bb": 5}, {(0, 1): (1, 2), (1, 0): (1, 3), (0, 3): (2, 4), (2, 0): (2, 4), (1, 1): (1, 5)})
+    rng = random.Random(8)
+    for m in (merges, codec.merges, tied):
+        tokens = [i for i, s in m.symbols.items() if all(s[k : k + 1] in m.entries for k in range(len(s)))]
+        short = [i for i in tokens if len(m.symbols[i]) < 4]
+        pairs = [(a, b) for a in [bpe.START, *tokens[:60]] for b in tokens[:60]] + [(rng.choice(x), rng.choice(y)) for x in (short, tokens) for y in (short, tokens) for _ in range(4000)]
+        plain = [m.encode(m.single((m.symbols[a] if a != bpe.START else m.symbols[b][:0]) + m.symbols[b])) == ([a, b] if a != bpe.START else [b]) for a, b in pairs]
+        assert m.all_follow(*np.array(pairs, np.int64).T).tolist() == plain == [m.follows(a, b) for a, b in pairs]
+
+
 def model_file(pieces_of, byte_fallback, dummy, strip):
     """A unigram model in the library's file format, written field by field: pieces are (text, score, type)."""
     def varint(n):
