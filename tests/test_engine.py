@@ -179,6 +179,55 @@ def test_counted_children_add_up():
     assert h[:, 0] - h[:, 1] == pytest.approx(h[:, 2])
 
 
+def kept_rows(codes, label, held, sizes):
+    n = len(label)
+    data = b"".join(np.ascontiguousarray(x).tobytes() for x in (codes, label, held, np.arange(n)))
+    return boosting._Rows(iter([pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([data], pa.binary())], names=["n", "data"])]), sizes)
+
+
+def test_features_that_go_together_are_counted_together():
+    """Ten features that follow from two are two numbers a row, or one, whatever the product of their sizes is."""
+    rng, n = np.random.default_rng(6), 20_000
+    a, b = rng.integers(0, 30, (2, n))
+    codes = np.stack([a, a // 2, (a * 7) % 30, a % 3, 29 - a, b, b // 3, (b * 11) % 30, b % 2, 29 - b]).astype(np.uint8)
+    label, held = (rng.random(n) < 0.1).astype(np.uint8), (rng.random(n) < 0.2).astype(np.uint8)
+    rows = kept_rows(codes, label, held, [30] * 10)
+    assert len(rows.groups) <= 2
+    order = np.argsort(2 * held + label, kind="stable")
+    assert (rows.codes == codes[:, order]).all() and (rows.label == (label[order] > 0)).all() and (rows.key == order[: rows.learnt]).all()
+    mine, pull = np.flatnonzero(rng.random(rows.learnt) < 0.5), rng.normal(size=rows.learnt)
+    h = boosting._histograms(rows, [mine], pull, [30] * 10, 32)
+    for k in range(10):
+        for got, weights in zip(h[:, 0, k], (None, rows.label[mine].astype(float), pull[mine])):
+            assert got == pytest.approx(np.bincount(rows.codes[k][mine], weights, 32))
+    assert (rows.right(mine, 7, 11) == (rows.codes[7][mine] > 11)).all()
+
+
+def test_bytes_that_a_row_takes():
+    """A task keeps all its rows in memory while trees are trained."""
+    rng, n = np.random.default_rng(7), 50_000
+    a = rng.integers(0, 30, n)
+    codes = np.stack([(a * k + k) % 30 for k in range(19)]).astype(np.uint8)
+    rows = kept_rows(codes, np.zeros(n, np.uint8), np.zeros(n, np.uint8), [30] * 19)
+    arrays = [x for o in (rows, *getattr(rows, "groups", [])) for x in vars(o).values() if isinstance(x, np.ndarray)]
+    assert rows.n == n and sum(x.nbytes for x in arrays) < 16 * n
+
+
+def test_words_of_entities(spark, tmp_path):
+    """Names and addresses are of the first eight words, however long or odd the text is."""
+    texts = [None, "", " .. ", "one", "a-b_c d\\e [f] ^g h|i j", "!!a!!b!!c!!d!!e!!f!!g!!h!!i", "\x1c\x1da\x0bb\x0cc\r\nd\x85e f g h i j", "\u0130x \u03a3 c d e f g h i j", "word " * 200_000]
+    spark.createDataFrame([(k, "en", 5, t) for k, t in enumerate(texts)], "doc_id long, lang string, n_chars int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = fixtures.entities(spark, str(tmp_path))
+    assert "regexp_extract" in out._jdf.queryExecution().optimizedPlan().toString()  # else every word of the text is split off
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", f"filter(split(translate(lower(text), '{fixtures._SPARK}', repeat(' ', 32)), '\\\\s+'), x -> x <> '') as t")
+    t = {r.doc_id: r.t for r in rows.collect()}
+    for r in out.collect():
+        k = int(r.entity_id[3:])
+        end = (" Ltd.", ", Inc", " GmbH", "")[k % 4]
+        assert r.business_name == (None if t[k] is None else " ".join(t[k][:4]) + end)
+        assert k % 13 == 0 or r.business_address == (None if t[k] is None else f"5 {' '.join(t[k][4:8])} 00005")
+
+
 def test_gbt_scores_read_a_matrix_that_is_kept(spark):
     out = queries.Q["gbt_scores"](spark, SF)
     assert out.inputFiles() and not any("documents" in f for f in out.inputFiles())  # else it would be computed anew
